@@ -20,16 +20,16 @@ TOKENS = (
 
 def pattern_of(layout: str) -> str:
     """The date_format pattern for a layout written with the reference time."""
-    out, i = "", 0
+    out, plain, i = "", "", 0
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if x else ""
     while i < len(layout):
-        for token, fmt in TOKENS:
-            if layout.startswith(token, i):
-                out, i = out + fmt, i + len(token)
-                break
+        token, fmt = next(((t, f) for t, f in TOKENS if layout.startswith(t, i)), (layout[i], None))
+        if fmt is None:
+            plain += token
         else:
-            c = layout[i]
-            out, i = out + ("''" if c == "'" else f"'{c}'" if c.isalpha() else c), i + 1
-    return out.replace("''", "\0").replace("\0", "''")
+            out, plain = out + quote(plain) + fmt, ""
+        i += len(token)
+    return out + quote(plain)
 
 
 def _text(col: str, fn) -> Expr:
