@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,7 +38,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker remembers.
-REMEMBER = 200_000
+REMEMBER = 500_000
 
 
 class WordEncoder:
@@ -55,7 +56,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.at = [0]
+        self.n_ids = 0
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         letter = np.zeros(256, bool)
         letter[97:123] = True
         sign = np.zeros(256, bool)
@@ -65,16 +67,29 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, and how many each has. Many words are encoded as one text, each followed by a bar;
+        no word has a bar (see kind), so the bar's id stands for the ends of words only."""
+        joined = [" | ".join(words[i : i + 512]) + " |" for i in range(0, len(words), 512)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        end = np.flatnonzero(ids == self.bar)
+        return ids[ids != self.bar], np.diff(end, prepend=-1) - 1
+
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = self._encode(words)
-        more = sum(map(len, ids))
-        while self.at[-1] + more > len(self.pool):
+        plain = [i for i, w in enumerate(words) if "|" not in w]
+        ids, sizes = self._encode_words([words[i] for i in plain]) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(plain) < len(words):
+            other = [i for i, w in enumerate(words) if "|" in w]
+            found = self._encode([words[i] for i in other])
+            plain, sizes = plain + other, np.append(sizes, [len(x) for x in found])
+            ids = np.concatenate((ids, *(np.array(x, np.uint32) for x in found)))
+        while self.n_ids + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
-        for key, word in zip(keys, ids, strict=True):
-            at = self.at[-1]
-            self.pool[at : at + len(word)] = word
-            self.known[key] = len(self.at) - 1
-            self.at.append(at + len(word))
+        self.pool[self.n_ids : self.n_ids + len(ids)] = ids
+        ends = self.n_ids + np.cumsum(sizes)
+        # a word's place in the pool and its size in one number
+        self.known.update(zip((keys[i] for i in plain), (((ends - sizes) << 24) | sizes).tolist(), strict=True))
+        self.n_ids += len(ids)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after the other, and their offsets."""
@@ -91,15 +106,17 @@ class WordEncoder:
         keys = span_hash(low, starts, ends)
         unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBER:
-            self.known, self.at = {}, [0]
+            self.known, self.n_ids = {}, 0
         listed = unique.tolist()
-        new = [i for i, key in enumerate(listed) if key not in self.known]
-        if new:
+        slot = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             raw = low.tobytes()
-            self._learn([listed[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        slot = np.fromiter((self.known[k] for k in listed), np.int64, len(listed))[back] if listed else np.zeros(0, np.int64)
-        at = np.asarray(self.at)
-        begin, size = at[slot], at[slot + 1] - at[slot] if len(slot) else np.zeros(0, np.int64)
+            at = first[new]
+            self._learn(unique[new].tolist(), [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            slot[new] = np.fromiter(map(self.known.get, unique[new].tolist()), np.int64, len(new))
+        slot = slot[back]
+        begin, size = slot >> 24, slot & ((1 << 24) - 1)
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
         ids = self.pool[np.arange(total[-1]) - np.repeat(total[:-1] - begin, size)]
         bounds = total[np.searchsorted(starts, off)]
@@ -129,7 +146,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch.column(1), 2 << 20):
+            for part in chunks(batch.column(1), 4 << 20):
                 ids, bounds = encoder.encode(part.data, part.off)
                 n = len(part)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
