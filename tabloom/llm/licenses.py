@@ -6,7 +6,7 @@ for the templates' vocabulary.  Every template is looked up by its word of the
 highest weight: each place of that word in a file proposes the start that its
 place in the template implies, and the other words' places relative to that
 start are then verified, so a template is found wherever its words stand
-consecutively.  Documents without any looked-up word are never cut into words.
+consecutively.
 
 All of it is DataFrame functions.  Null and empty texts have no words, no labels
 and score 0.  Overlapping places all count.  Repeated rows stay repeated; an
@@ -55,7 +55,6 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "te
     """The number of documents, and how many hold each word of the vocabulary (a bounded table)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.array_distinct(F.filter(F.transform(split_words(text), F.lower), lambda w: w.isin(vocabulary)))
-    held = F.when(text.rlike("(?i)" + "|".join(vocabulary)), held).otherwise(F.array().cast("array<string>"))
     counted = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     found = {r["word"]: r["n"] for r in counted}
     return found.pop("", 0), found
@@ -78,10 +77,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = anchors(templates, frequencies)
     rare = sorted({words[at] for _, words, at in index})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike("(?i)" + "|".join(rare))
+    # a document that lacks a word of every template is never cut into words
+    holds = lambda words: reduce(lambda a, b: a & b, [F.col("__low").contains(w) for w in sorted(set(words), key=lambda w: (frequencies.get(w, 0), -len(w)))])
+    some = reduce(lambda a, b: a | b, [holds(words) for _, words, _ in index])
     none = F.array().cast("array<string>")
-    rows = docs.select(F.col(id_col), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(some, split_words(text)).otherwise(none).alias("__words"))
-    places = F.filter(F.transform("__words", lambda w, i: F.struct(lower_ascii(w).alias("w"), i.alias("i"))), lambda x: x["w"].isin(rare) if len(rare) > 1 else x["w"] == rare[0])
+    rows = docs.select(F.col(id_col), text.alias("__text"), F.lower(text).alias("__low"))
+    rows = rows.select(id_col, F.regexp_count("__text", F.lit(WORD)).cast("long").alias("n_words"), F.when(some, split_words("__text")).otherwise(none).alias("__words"))
+    # lower() also folds letters beyond ASCII, so what it finds is tested again by lower_ascii()
+    places = F.filter(F.transform("__words", lambda w, i: F.struct(F.lower(w).alias("low"), w.alias("w"), i.alias("i"))), lambda x: x["low"].isin(rare))
+    places = F.transform(places, lambda x: F.struct(lower_ascii(x["w"]).alias("w"), x["i"].alias("i")))
     rows = rows.withColumn("__places", F.when(F.size("__words") > 0, places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
 
     def found(label: str, words: list[str], at: int, is_base: bool):
