@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-#: Fixed values of the contract. The last two are the contract's pattern and least length in one.
+#: Fixed values of the contract. ACCESS and HEX are the contract's pattern and least length in one.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
-HEX = r"[0-9a-f]{32,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 RATE, LEAST_BITS, CELLS, CELL = 0.05, 80, 400, 0.05
 _SPANS = "array<struct<s:int,e:int,p:double>>"
 _DIGITS, _CAPITALS, _SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,18 +40,28 @@ def _none():
     return F.array().cast(_SPANS)
 
 
-def _spans(text, pattern: str, keep=None, group: int | None = None, p=None):
-    """Spans of all matches, leftmost and not overlapping; keep tests a match (or its group)."""
-    whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    tested = whole if group is None else F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(whole, F.length)
-    steps = F.zip_with(gaps, sizes, lambda g, n: g + F.coalesce(n, F.lit(0)))
-    n = F.size(whole)
-    place = lambda i: F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda a, b: a + b) + F.get(gaps, i)
-    items = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(place(i).alias("s"), (place(i) + F.get(sizes, i)).alias("e"), (p(F.get(whole, i)) if p else F.lit(1.0)).alias("p"), (keep(F.get(tested, i)) if keep else F.lit(True)).alias("ok")))
-    items = F.transform(F.filter(items, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p")))
-    return F.when(text.rlike(pattern), items.cast(_SPANS)).otherwise(_none())
+def _matches(text, some, pattern: str, group: int = 0):
+    """(gaps before and after matches, matches, a group of each) of texts that may match; empty arrays for others.
+
+    The arrays are columns of their own, so that no pattern is matched again for each element."""
+    none = F.array().cast("array<string>")
+    every = lambda g: F.when(some, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(g + 1))).otherwise(none)
+    return F.when(some, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>")), every(0), every(group)
+
+
+def _spans(gaps: str, found: str, tested: str, keep=None, p=None):
+    """Spans of the matches that keep accepts, in order; keep and p see the tested group."""
+    items = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), tested, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v")))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+
+    def step(a, x):
+        s = a["at"] + x["g"]
+        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), (p(x["v"]) if p else F.lit(1.0)).cast("double").alias("p")))
+        ok = x["m"].isNotNull() & (keep(x["v"]) if keep else F.lit(True))
+        return F.struct(e.alias("at"), F.when(ok, F.concat(a["out"], one)).otherwise(a["out"]).cast(_SPANS).alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(items, start, step, lambda a: a["out"])).otherwise(_none())
 
 
 def upper_tail(z):
@@ -114,17 +124,24 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col("__text"), F.lit(""))
     kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *kept)
-    rows = rows.withColumns({
-        "assign": _spans(text, ASSIGN, lambda v: F.length(v) >= 8, 2),
-        "access": _spans(text, ACCESS),
-        "hex": _spans(text, HEX),
-    })
+    low = F.lower(text)
+    some = {
+        "assign": low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key"),
+        "access": text.contains("AKIA"),
+        "hex": text.rlike(HEX),
+        "random": text.rlike(TOKEN),
+    }
+    patterns = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "random": (TOKEN, 0)}
+    rows = rows.withColumns({f"__some_{k}": c for k, c in some.items()})
+    found = {k: _matches(text, F.col(f"__some_{k}"), *patterns[k]) for k in KINDS}
+    rows = rows.withColumns({f"__{n}_{k}": c for k, cs in found.items() for n, c in zip("gmv", cs, strict=True)})
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (bits(t) >= least_bits)
     sure = lambda t: F.when(mixed(t), p_value(t)).otherwise(F.lit(0.0))
-    some = text.rlike(TOKEN)
-    rows = rows.withColumn("random", F.when(some, _spans(text, TOKEN, mixed, None, sure)).otherwise(_none()))
+    spans = lambda k, *a: _spans(f"__g_{k}", f"__m_{k}", f"__v_{k}", *a)
+    rows = rows.withColumns({"assign": spans("assign", lambda v: F.length(v) >= 8), "access": spans("access"), "hex": spans("hex"), "random": spans("random", mixed, sure)})
+    rows = rows.select("id", *KINDS, *(["kept"] if keep else []))
     fixed = F.concat("assign", "access", "hex")
-    rows = rows.withColumn("random", F.filter("random", lambda x: ~_touches(x, fixed))).drop("__text")
+    rows = rows.withColumn("random", F.filter("random", lambda x: ~_touches(x, fixed)))
     rows = save(rows, "secrets")
     # weighted Benjamini-Hochberg: p over length / mean length, in cells of a log scale
     cand = rows.select(F.explode("random").alias("x")).select("x.p", (F.col("x.e") - F.col("x.s")).cast("double").alias("n"))
