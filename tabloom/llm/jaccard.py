@@ -5,8 +5,11 @@ one node.  Two sets whose Jaccard similarity reaches 4/5 share one of the smalle
 fifth of each set's hashes, so nodes meet only in the postings of those hashes
 (its prefix); hashes that only one node has are dropped.
 
-A node's shingles are counted in 128 groups by hash.  The overlap of two sets is
-at most the sum of the coordinate minima of their count vectors, and in a large
+A node's shingles are counted in groups by hash, 128 groups for small sets and
+twice as many for each doubling from 1024 shingles on, so that a group holds 4 to 8
+of them; a node that may link with smaller sets of the level below also stands
+there, its groups folded.  The overlap of two sets is at most the sum of the
+coordinate minima of their count vectors, and in a large
 posting the vectors are packed into the leaves of an R-tree (by size, then by the
 widest coordinates): two leaves are compared only if the minima of their boxes'
 upper corners leave room for the overlap that their sizes ask for, and then two
@@ -37,6 +40,8 @@ from .common import LOWER, MIX, NOT_SPACE, U, chunks, runs, save, span_hash, spl
 from .components import components
 
 SHINGLE, GROUPS, LEAF = 5, 128, 64
+#: From this size on, each doubling of a set doubles the groups.
+LEVEL = 1024
 HOT = 1 << 15
 #: Leaders that a large posting offers its nodes in the first round (the second round is exact for any number).
 LEADERS = 64
@@ -73,6 +78,11 @@ def prefix_length(n):
     return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
 
 
+def level_of(n):
+    """0 below LEVEL shingles, and one more for each doubling."""
+    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / LEVEL)).astype(np.int64) + 1)
+
+
 def _pack(h: np.ndarray) -> np.ndarray:
     """The upper 48 bits of each hash, 6 bytes each."""
     return np.ascontiguousarray((h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
@@ -96,11 +106,11 @@ def _profile(batches) -> Iterator:
             prints = np.zeros(len(n), np.int64)
             if len(some):
                 prints[some] = splitmix(np.add.reduceat(splitmix(h + U(3)), at[some]) + n[some].astype(np.uint64)).view(np.int64)
-            doc = np.repeat(np.arange(len(n)), n)
-            group = ((h >> U(16)) & U(GROUPS - 1)).astype(np.int64)
-            vector = np.minimum(np.bincount(doc * GROUPS + group, minlength=len(n) * GROUPS), 255).astype(np.uint8).reshape(-1, GROUPS)
+            low = (h >> U(16)).astype(np.int64)
+            level = level_of(n).tolist()
             packed, p = _pack(h), prefix_length(n)
-            vectors = pa.array([v.tobytes() for v in vector], pa.binary())
+            count = lambda x, k: np.minimum(np.bincount(x & ((GROUPS << k) - 1), minlength=GROUPS << k), 255).astype(np.uint8).tobytes()
+            vectors = pa.array([count(low[a:b], k) for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), level, strict=True)], pa.binary())
             prefix = pa.array([packed[a : a + k].tobytes() for a, k in zip(at[:-1].tolist(), p.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n), pa.array(prints, mask=n == 0), vectors, prefix], names=["id", "n", "print", "vector", "prefix"])
 
@@ -116,6 +126,22 @@ def _post(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(_unpack(b"".join(raw))), pa.array(np.repeat(n, size)), pa.array(np.repeat(own, size))], names=["hash", "n", "print"])
 
 
+def _levels(batches) -> Iterator:
+    """(print, node, n, vector) to a row at the node's own level, and one at the level below where a set of that level may link."""
+    import pyarrow as pa
+
+    for batch in batches:
+        own, node, n = (batch.column(i).to_numpy() for i in range(3))
+        vector = batch.column(3).to_pylist()
+        level = level_of(n)
+        down = np.flatnonzero((level > 0) & (level_of(-(-4 * n // 5)) < level))
+        fold = lambda raw: np.minimum(np.frombuffer(raw, np.uint8).reshape(2, -1).sum(0, dtype=np.int64), 255).astype(np.uint8).tobytes()
+        rows = np.concatenate((np.arange(len(n)), down))
+        native = np.arange(len(rows)) < len(n)
+        cols = [own[rows], node[rows], np.concatenate((level, level[down] - 1)), native]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([*vector, *(fold(vector[i]) for i in down)], pa.binary())], names=["print", "node", "level", "native", "vector"])
+
+
 def _shared(batches) -> Iterator:
     """Rows sorted by hash, n and print: one of equals, and only of hashes that several prints have; place counts from 0."""
     import pyarrow as pa
@@ -171,8 +197,8 @@ def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, v: np.ndarray, long: n
     return ok
 
 
-def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points whose bound allows a link; with side only across sides, with comp only across components."""
+def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points, one of them native, whose bound allows a link; with side only across sides, with comp only across components."""
     spread = v.std(axis=0)
     wide = np.argsort(-spread)[:2]
     slab = (np.log(np.maximum(n, 1)) * 20).astype(np.int64)
@@ -193,7 +219,7 @@ def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, side: np.ndarray
         for y in (leaves[k] for k in j):
             a, b = np.repeat(x, len(y)), np.tile(y, len(x))
             keep = (a < b) if x is y else np.ones(len(a), bool)
-            keep &= (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a])
+            keep &= (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & (native[a] | native[b])
             if comp is not None:
                 keep &= comp[a] != comp[b]
             if side is not None:
@@ -208,13 +234,13 @@ def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, side: np.ndarray
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _leader_pairs(n, v, long, node, side):
+def _leader_pairs(n, v, long, native, node):
     """Each node with the first of some leaders (smallest nodes) that its bound allows."""
     order = np.argsort(node, kind="stable")
     leader = np.full(len(n), -1)
     for x in order[:LEADERS]:
         free = order[(leader[order] < 0) & (node[order] > node[x])]
-        free = free[(5 * n[free] >= 4 * n[x]) & (5 * n[x] >= 4 * n[free])]
+        free = free[(5 * n[free] >= 4 * n[x]) & (5 * n[x] >= 4 * n[free]) & (native[free] | native[x])]
         if len(free):
             leader[free[_bounded(np.full(len(free), x), free, n, v, long)]] = x
     a = np.flatnonzero(leader >= 0)
@@ -222,9 +248,15 @@ def _leader_pairs(n, v, long, node, side):
 
 
 def _match(first_round: bool):
-    """Postings sorted by hash, block, other to pairs (a, b) of nodes; in the first round one smaller b for each a."""
+    """Postings sorted by hash, level, block, other to pairs (a, b) of nodes; in the first round one smaller b for each a."""
+
+    def pairs_of(h, level, block, other, side, native, n, node, raw, comp):
+        for k in np.unique(level).tolist():
+            x = np.flatnonzero(level == k)
+            v = np.frombuffer(b"".join(raw[x].tolist()), np.uint8).reshape(len(x), -1)
+            yield level_pairs(h[x], block[x], other[x], side[x], native[x], n[x], node[x], v, comp[x])
 
-    def pairs_of(h, block, other, side, n, node, v, comp):
+    def level_pairs(h, block, other, side, native, n, node, v, comp):
         import pyarrow as pa
 
         long = (v == 255).any(axis=1)
@@ -238,7 +270,7 @@ def _match(first_round: bool):
                 rows = start[size == k][:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
                 a, b = rows[:, i].ravel(), rows[:, j].ravel()
-                keep = (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & ((block[a] == other[a]) | (side[a] != side[b]))
+                keep = (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & ((block[a] == other[a]) | (side[a] != side[b])) & (native[a] | native[b])
                 if not first_round:
                     keep &= comp[a] != comp[b]
                 a, b = a[keep], b[keep]
@@ -247,11 +279,11 @@ def _match(first_round: bool):
         for s, k in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
             x = slice(s, s + k)
             if first_round:
-                a, b = _leader_pairs(n[x], v[x], long[x], node[x], side[x])
+                a, b = _leader_pairs(n[x], v[x], long[x], native[x], node[x])
             elif (comp[x] == comp[s]).all():
                 continue
             else:
-                a, b = tree_pairs(n[x], v[x], long[x], side[x] if block[s] != other[s] else None, comp[x])
+                a, b = tree_pairs(n[x], v[x], long[x], native[x], side[x] if block[s] != other[s] else None, comp[x])
             found.append((a + s, b + s))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
@@ -268,20 +300,20 @@ def _match(first_round: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            vectors = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, GROUPS)
-            comp = batch.column(7).to_numpy() if not first_round else cols[5]
-            new = [*cols, vectors, comp]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            raw = np.empty(batch.num_rows, object)
+            raw[:] = batch.column(8).to_pylist()
+            new = [*cols, raw, batch.column(9).to_numpy() if not first_round else cols[7]]
             kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            if len(kept[0]) < 1 << 16:
+            if len(kept[0]) < 1 << 15:
                 continue
-            same = (kept[0] == kept[0][-1]) & (kept[1] == kept[1][-1]) & (kept[2] == kept[2][-1])
+            same = np.logical_and.reduce([kept[i] == kept[i][-1] for i in range(4)])
             cut = int(np.argmax(same))
             if cut:
-                yield pairs_of(*(x[:cut] for x in kept))
+                yield from pairs_of(*(x[:cut] for x in kept))
                 kept = [x[cut:] for x in kept]
         if kept is not None and len(kept[0]):
-            yield pairs_of(*kept)
+            yield from pairs_of(*kept)
 
     return run
 
@@ -359,10 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     post = known.select("n", "print", "prefix").mapInArrow(_post, "hash long, n long, print long")
     shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(_shared, "hash long, n long, print long, place long")
     shared = save(shared, "shared")
-    vectors = known.select("print", F.col("id").alias("node"), "vector").join(nodes, ["print", "node"]).dropDuplicates(["print"])
+    vectors = known.select("print", F.col("id").alias("node"), "n", "vector").join(nodes, ["print", "node"]).dropDuplicates(["print"])
+    vectors = vectors.select("print", "node", "n", "vector").mapInArrow(_levels, "print long, node long, level long, native boolean, vector binary")
     post = save(_blocks(shared, hot).join(vectors, "print"), "postings")
-    keys = ["hash", "block", "other"]
-    columns = [*keys, "side", "n", "node", "vector"]
+    keys = ["hash", "level", "block", "other"]
+    columns = [*keys, "side", "native", "n", "node", "vector"]
     first = post.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(_match(True), "a long, b long")
     first = _linked(save(first.groupBy("a").agg(F.min("b").alias("b")), "pairs"), nodes, docs)
     part = components(first)
