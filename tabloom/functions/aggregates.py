@@ -20,32 +20,29 @@ class Agg:
     col: str
     sep: str = ""
 
+    def raw(self, env: Env) -> Column:
+        """The aggregate itself (of "join": the list of cells), in the order of the rows where that counts."""
+        c = env.cell(self.col)
+        return {"sum": F.sum(number(c)), "mean": F.avg(number(c)), "count": F.count(present(c)), "join": F.collect_list(present(c)), "first": F.first(c), "last": F.last(c)}[self.kind]
+
     def grouped(self, env: Env, order: Column) -> Column:
+        """As raw, for groups whose rows come in no order: order tells them apart."""
         c = env.cell(self.col)
-        x = number(c)
-        if self.kind == "sum":
-            return shortest(F.coalesce(F.sum(x), F.lit(0.0)))
-        if self.kind == "mean":
-            return F.coalesce(shortest(F.avg(x)), F.lit(""))
-        if self.kind == "count":
-            return F.count(present(c)).cast("string")
         if self.kind == "join":
             kept = F.array_sort(F.collect_list(F.when(c != "", F.struct(order.alias("o"), c.alias("v")))))
-            return F.array_join(F.transform(kept, lambda s: s["v"]), self.sep)
-        return F.min_by(c, order) if self.kind == "first" else F.max_by(c, order)
+            return F.transform(kept, lambda s: s["v"])
+        return {"first": F.min_by, "last": F.max_by}[self.kind](c, order) if self.kind in ("first", "last") else self.raw(env)
 
     def rolling(self, env: Env, w: WindowSpec) -> Column:
-        c = env.cell(self.col)
-        x = number(c)
+        return self.raw(env).over(w)
+
+    def text(self, x: Column) -> Column:
+        """The aggregate as a cell."""
         if self.kind == "sum":
-            return shortest(F.coalesce(F.sum(x).over(w), F.lit(0.0)))
+            return shortest(F.coalesce(x, F.lit(0.0)))
         if self.kind == "mean":
-            return F.coalesce(shortest(F.avg(x).over(w)), F.lit(""))
-        if self.kind == "count":
-            return F.count(present(c)).over(w).cast("string")
-        if self.kind == "join":
-            return F.array_join(F.collect_list(present(c)).over(w), self.sep)
-        return (F.first(c) if self.kind == "first" else F.last(c)).over(w)
+            return F.coalesce(shortest(x), F.lit(""))
+        return x.cast("string") if self.kind == "count" else F.array_join(x, self.sep) if self.kind == "join" else x
 
 
 def Sum(col: str) -> Agg:

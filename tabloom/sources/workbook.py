@@ -85,10 +85,10 @@ class ExcelReader:
     sheet_index: int = 0
     password: str | None = None
 
-    def _rows(self, path: str) -> Iterator[list[str]]:
+    def _rows(self, path: str | bytes) -> Iterator[list[str]]:
         if self.password:
             raise NotImplementedError("encrypted workbooks need a decryption library, which isn't available")
-        data = _bytes(path)
+        data = path if isinstance(path, bytes) else _bytes(path)
         parts = sheet_parts(data)
         if self.sheet is not None:
             found = [p for n, p in parts if n == self.sheet]
@@ -99,7 +99,7 @@ class ExcelReader:
             raise ValueError(f"excel: sheet index {self.sheet_index} out of range")
         return sheet_rows(data, parts[self.sheet_index][1])
 
-    def read_file(self, path: str) -> Result:
+    def read_file(self, path: str | bytes) -> Result:
         """One sheet of one workbook; all rows, the header too, padded to the widest."""
         try:
             rows = list(self._rows(path))
@@ -111,7 +111,10 @@ class ExcelReader:
             table = new(rows[0], rows[1:]) if rows else new([], [])
         else:
             table = new(list(self.names or (f"col_{i}" for i in range(width))), rows)
-        return Ok(table.with_source(os.path.basename(path)))
+        return Ok(table if isinstance(path, bytes) else table.with_source(os.path.basename(path)))
+
+    def read_bytes(self, data: bytes) -> Result:
+        return self.read_file(data)
 
     def read_folder(self, pattern: str, names: list[str]) -> Table:
         """The sheet of the index of many workbooks, a workbook a task, under given column names; header rows are skipped."""
@@ -144,5 +147,5 @@ class ExcelReader:
             yield new(names, held)
 
 
-def sheet_names(path: str) -> list[str]:
-    return [n for n, _ in sheet_parts(_bytes(path))]
+def sheet_names(path: str | bytes) -> list[str]:
+    return [n for n, _ in sheet_parts(path if isinstance(path, bytes) else _bytes(path))]

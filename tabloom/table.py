@@ -295,7 +295,8 @@ class Table:
         return self._with(name, blank(self._of_row(fn, "string").cast("string")))
 
     def add_col_float(self, name: str, fn) -> Table:
-        return self._with(name, blank(shortest(self._of_row(fn, "double").cast("double"))))
+        held = self._new(self._df.withColumn("__x", self._of_row(fn, "double").cast("double")))
+        return self._new(held._df.select(*map(quoted, self.headers), blank(shortest(F.col("__x"))).alias(unique_name(name, self.headers)), ORD))
 
     def add_col_int(self, name: str, fn) -> Table:
         return self._with(name, blank(self._of_row(fn, "bigint").cast("bigint").cast("string")))
@@ -455,7 +456,7 @@ class Table:
         made = [a.grouped(env, F.col(ORD)).alias(f"__a{i}") for i, (_, a) in enumerate(aggs)]
         grouped = self._df.groupBy(*keys).agg(*made, F.min(ORD).alias(ORD)).filter(F.col(ORD).isNotNull())
         names = unique_names([*group_cols, *(n for n, _ in aggs)])
-        cols = [F.col(f"__k{i}") for i in range(len(keys))] + [F.col(f"__a{i}") for i in range(len(made))]
+        cols = [F.col(f"__k{i}") for i in range(len(keys))] + [a.text(F.col(f"__a{i}")) for i, (_, a) in enumerate(aggs)]
         return self._new(grouped.select(*(c.alias(n) for c, n in zip(cols, names, strict=True)), ORD))
 
     def value_counts(self, col: str) -> Table:
@@ -495,7 +496,8 @@ class Table:
             "__real": F.when(whole.isNull(), real),
             "__reals": F.when(whole.isNull() & real.isNotNull(), 1),
         })
-        text = F.when(F.col("__reals") == 0, F.col("__whole").cast("string")).otherwise(shortest(F.col("__whole").cast("double") + F.col("__real")))
+        df = df.withColumn("__sum", F.col("__whole").cast("double") + F.col("__real"))
+        text = F.when(F.col("__reals") == 0, F.col("__whole").cast("string")).otherwise(shortest(F.col("__sum")))
         return self._new(df.select(*map(quoted, self.headers), text.alias(unique_name(out_col, self.headers)), ORD))
 
     def rank(self, col: str, out_col: str, ascending: bool = True) -> Table:
@@ -508,8 +510,8 @@ class Table:
     def rolling_agg(self, out_col: str, size: int, agg: Agg) -> Table:
         size = max(size, 1)
         env, name = self._env(), unique_name(out_col, self.headers)
-        df = ordered.over_rows(self._indexed(), "__i", size - 1, 0, lambda w: {name: agg.rolling(env, w.rowsBetween(-(size - 1), 0))})
-        return self._new(df.select(*map(quoted, [*self.headers, name]), ORD))
+        df = ordered.over_rows(self._indexed(), "__i", size - 1, 0, lambda w: {"__x": agg.rolling(env, w.rowsBetween(-(size - 1), 0))})
+        return self._new(df.select(*map(quoted, self.headers), agg.text(F.col("__x")).alias(name), ORD))
 
     def _filled(self, op: str, col: str, forward: bool) -> Table:
         if col not in self.headers:
