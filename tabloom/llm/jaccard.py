@@ -3,10 +3,12 @@
 A document's set holds the hashes of its distinct 5-word shingles.  Equal sets are
 one node.  Two sets whose Jaccard similarity reaches 4/5 share one of the smallest
 fifth of each set's hashes, so nodes meet only in the postings of those hashes
-(its prefix); hashes that only one node has are dropped.
+(its prefix); hashes that only one node has are dropped.  Where two nodes first meet,
+the hashes before that place are not common, so a meeting place that leaves too few
+hashes behind it for the overlap that their sizes ask for is no candidate.
 
 A node's shingles are counted in groups by hash, 128 groups for small sets and
-twice as many for each doubling from 1024 shingles on, so that a group holds 4 to 8
+twice as many for each doubling from 768 shingles on, so that a group holds 3 to 6
 of them; a node that may link with smaller sets of the level below also stands
 there, its groups folded.  The overlap of two sets is at most the sum of the
 coordinate minima of their count vectors, and in a large
@@ -41,7 +43,7 @@ from .components import components
 
 SHINGLE, GROUPS, LEAF = 5, 128, 64
 #: From this size on, each doubling of a set doubles the groups.
-LEVEL = 1024
+LEVEL = 768
 HOT = 1 << 15
 #: Leaders that a large posting offers its nodes in the first round (the second round is exact for any number).
 LEADERS = 64
@@ -123,7 +125,8 @@ def _post(batches) -> Iterator:
         n, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         raw = batch.column(2).to_pylist()
         size = np.array([len(x) // 6 for x in raw])
-        yield pa.RecordBatch.from_arrays([pa.array(_unpack(b"".join(raw))), pa.array(np.repeat(n, size)), pa.array(np.repeat(own, size))], names=["hash", "n", "print"])
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(_unpack(b"".join(raw))), pa.array(np.repeat(n, size)), pa.array(np.repeat(own, size)), pa.array(place)], names=["hash", "n", "print", "at"])
 
 
 def _levels(batches) -> Iterator:
@@ -150,7 +153,7 @@ def _shared(batches) -> Iterator:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, n, own = (c.to_numpy() for c in batch.columns)
+        h, n, own, at = (c.to_numpy() for c in batch.columns)
         new_hash, twin = np.ones(len(h), bool), np.zeros(len(h), bool)
         new_hash[1:] = h[1:] != h[:-1]
         twin[1:] = ~new_hash[1:] & (own[1:] == own[:-1])
@@ -160,7 +163,7 @@ def _shared(batches) -> Iterator:
         last = (h[-1], own[-1])
         keep = ~twin
         new_hash = new_hash[keep]  # a twin never starts a hash
-        h, n, own = h[keep], n[keep], own[keep]
+        h, n, own, at = h[keep], n[keep], own[keep], at[keep]
         if not len(h):
             continue
         group = np.cumsum(new_hash)
@@ -171,16 +174,16 @@ def _shared(batches) -> Iterator:
         size[0] += count
         several = size[group] >= 2
         if held is not None and size[0] >= 2:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=["hash", "n", "print", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=["hash", "n", "print", "at", "place"])
             held = None
         if group[-1] > 0:
             held = None
         if size[-1] == 1 and group[-1] > 0:
-            held = (h[-1], n[-1], own[-1], np.int64(0))
+            held = (h[-1], n[-1], own[-1], at[-1], np.int64(0))
         count = int(size[-1])
         i = np.flatnonzero(several)
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(n[i]), pa.array(own[i]), pa.array(place[i])], names=["hash", "n", "print", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(n[i]), pa.array(own[i]), pa.array(at[i]), pa.array(place[i])], names=["hash", "n", "print", "at", "place"])
 
 
 def _allows(bound, n_a, n_b):
@@ -188,6 +191,11 @@ def _allows(bound, n_a, n_b):
     return 9 * bound >= 4 * (n_a + n_b)
 
 
+def _meets(a, b, n, rest):
+    """Whether sizes allow a link, and the hashes from the meeting place on its overlap."""
+    return (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & _allows(np.minimum(rest[a], rest[b]), n[a], n[b])
+
+
 def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, v: np.ndarray, long: np.ndarray) -> np.ndarray:
     ok = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 15):
@@ -197,7 +205,7 @@ def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, v: np.ndarray, long: n
     return ok
 
 
-def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points, one of them native, whose bound allows a link; with side only across sides, with comp only across components."""
     spread = v.std(axis=0)
     wide = np.argsort(-spread)[:2]
@@ -219,7 +227,7 @@ def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarra
         for y in (leaves[k] for k in j):
             a, b = np.repeat(x, len(y)), np.tile(y, len(x))
             keep = (a < b) if x is y else np.ones(len(a), bool)
-            keep &= (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & (native[a] | native[b])
+            keep &= _meets(a, b, n, rest) & (native[a] | native[b])
             if comp is not None:
                 keep &= comp[a] != comp[b]
             if side is not None:
@@ -234,13 +242,13 @@ def tree_pairs(n: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarra
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _leader_pairs(n, v, long, native, node):
+def _leader_pairs(n, rest, v, long, native, node):
     """Each node with the first of some leaders (smallest nodes) that its bound allows."""
     order = np.argsort(node, kind="stable")
     leader = np.full(len(n), -1)
     for x in order[:LEADERS]:
         free = order[(leader[order] < 0) & (node[order] > node[x])]
-        free = free[(5 * n[free] >= 4 * n[x]) & (5 * n[x] >= 4 * n[free]) & (native[free] | native[x])]
+        free = free[_meets(free, np.full(len(free), x), n, rest) & (native[free] | native[x])]
         if len(free):
             leader[free[_bounded(np.full(len(free), x), free, n, v, long)]] = x
     a = np.flatnonzero(leader >= 0)
@@ -250,13 +258,13 @@ def _leader_pairs(n, v, long, native, node):
 def _match(first_round: bool):
     """Postings sorted by hash, level, block, other to pairs (a, b) of nodes; in the first round one smaller b for each a."""
 
-    def pairs_of(h, level, block, other, side, native, n, node, raw, comp):
+    def pairs_of(h, level, block, other, side, native, n, at, node, raw, comp):
         for k in np.unique(level).tolist():
             x = np.flatnonzero(level == k)
             v = np.frombuffer(b"".join(raw[x].tolist()), np.uint8).reshape(len(x), -1)
-            yield level_pairs(h[x], block[x], other[x], side[x], native[x], n[x], node[x], v, comp[x])
+            yield level_pairs(h[x], block[x], other[x], side[x], native[x], n[x], n[x] - at[x], node[x], v, comp[x])
 
-    def level_pairs(h, block, other, side, native, n, node, v, comp):
+    def level_pairs(h, block, other, side, native, n, rest, node, v, comp):
         import pyarrow as pa
 
         long = (v == 255).any(axis=1)
@@ -270,7 +278,7 @@ def _match(first_round: bool):
                 rows = start[size == k][:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
                 a, b = rows[:, i].ravel(), rows[:, j].ravel()
-                keep = (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & ((block[a] == other[a]) | (side[a] != side[b])) & (native[a] | native[b])
+                keep = _meets(a, b, n, rest) & ((block[a] == other[a]) | (side[a] != side[b])) & (native[a] | native[b])
                 if not first_round:
                     keep &= comp[a] != comp[b]
                 a, b = a[keep], b[keep]
@@ -279,11 +287,11 @@ def _match(first_round: bool):
         for s, k in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
             x = slice(s, s + k)
             if first_round:
-                a, b = _leader_pairs(n[x], v[x], long[x], native[x], node[x])
+                a, b = _leader_pairs(n[x], rest[x], v[x], long[x], native[x], node[x])
             elif (comp[x] == comp[s]).all():
                 continue
             else:
-                a, b = tree_pairs(n[x], v[x], long[x], native[x], side[x] if block[s] != other[s] else None, comp[x])
+                a, b = tree_pairs(n[x], rest[x], v[x], long[x], native[x], side[x] if block[s] != other[s] else None, comp[x])
             found.append((a + s, b + s))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
@@ -300,10 +308,10 @@ def _match(first_round: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             raw = np.empty(batch.num_rows, object)
-            raw[:] = batch.column(8).to_pylist()
-            new = [*cols, raw, batch.column(9).to_numpy() if not first_round else cols[7]]
+            raw[:] = batch.column(9).to_pylist()
+            new = [*cols, raw, batch.column(10).to_numpy() if not first_round else cols[8]]
             kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
             if len(kept[0]) < 1 << 15:
                 continue
@@ -369,15 +377,15 @@ def _blocks(shared: DataFrame, hot: int) -> DataFrame:
     plain = [F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")]
     busy = shared.filter(F.col("place") == hot).select("hash")
     if not busy.limit(1).count():
-        return shared.select("hash", *plain, "n", "print")
-    calm = shared.join(busy, "hash", "left_anti").select("hash", *plain, "n", "print")
-    rows = shared.join(busy, "hash").withColumn("at", F.floor(F.col("place") / (hot // 2 or 1)))
-    sizes = rows.groupBy("hash", "at").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = sizes.select("hash", F.col("at").alias("block"), "hi"), sizes.select(F.col("hash").alias("h"), F.col("at").alias("other"), "lo")
+        return shared.select("hash", *plain, "n", "print", "at")
+    calm = shared.join(busy, "hash", "left_anti").select("hash", *plain, "n", "print", "at")
+    rows = shared.join(busy, "hash").withColumn("part", F.floor(F.col("place") / (hot // 2 or 1)))
+    sizes = rows.groupBy("hash", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = sizes.select("hash", F.col("part").alias("block"), "hi"), sizes.select(F.col("hash").alias("h"), F.col("part").alias("other"), "lo")
     meet = x.join(y, (F.col("hash") == F.col("h")) & (F.col("block") <= F.col("other")) & (5 * F.col("hi") >= 4 * F.col("lo"))).select("hash", "block", "other")
-    left = meet.select("*", F.col("block").alias("at"), F.lit(0).alias("side"))
-    right = meet.filter("block < other").select("*", F.col("other").alias("at"), F.lit(1).alias("side"))
-    dealt = rows.join(left.unionByName(right), ["hash", "at"]).select("hash", "block", "other", "side", "n", "print")
+    left = meet.select("*", F.col("block").alias("part"), F.lit(0).alias("side"))
+    right = meet.filter("block < other").select("*", F.col("other").alias("part"), F.lit(1).alias("side"))
+    dealt = rows.join(left.unionByName(right), ["hash", "part"]).select("hash", "block", "other", "side", "n", "print", "at")
     return calm.unionByName(dealt)
 
 
@@ -388,14 +396,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = save(docs.mapInArrow(_profile, "id long, n long, print long, vector binary, prefix binary"), "profiles")
     nodes = save(profile.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "nodes")
     known = profile.filter("n > 0")
-    post = known.select("n", "print", "prefix").mapInArrow(_post, "hash long, n long, print long")
-    shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(_shared, "hash long, n long, print long, place long")
+    post = known.select("n", "print", "prefix").mapInArrow(_post, "hash long, n long, print long, at long")
+    shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(_shared, "hash long, n long, print long, at long, place long")
     shared = save(shared, "shared")
     vectors = known.select("print", F.col("id").alias("node"), "n", "vector").join(nodes, ["print", "node"]).dropDuplicates(["print"])
     vectors = vectors.select("print", "node", "n", "vector").mapInArrow(_levels, "print long, node long, level long, native boolean, vector binary")
     post = save(_blocks(shared, hot).join(vectors, "print"), "postings")
     keys = ["hash", "level", "block", "other"]
-    columns = [*keys, "side", "native", "n", "node", "vector"]
+    columns = [*keys, "side", "native", "n", "at", "node", "vector"]
     first = post.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(_match(True), "a long, b long")
     first = _linked(save(first.groupBy("a").agg(F.min("b").alias("b")), "pairs"), nodes, docs)
     part = components(first)
