@@ -126,6 +126,7 @@ class Table:
 
     def __init__(self, df: DataFrame, errs: Iterable[Exception] = (), source: str = "", stable: bool = False):
         self._df, self._errs, self._source, self._stable = df, list(errs), source, stable
+        self._dense = False  # whether __ord is 0, 1, 2, ...
 
     # -- state ---------------------------------------------------------------------------------
 
@@ -233,8 +234,17 @@ class Table:
         return self._df
 
     def _indexed(self) -> DataFrame:
+        """The frame with __i: the number of each row from 0."""
+        if self._dense:
+            return self._df.withColumn("__i", F.col(ORD))
         return ordered.dense_index(self._long(), ORD)
 
+    def _numbered(self, df: DataFrame, *cols: Column) -> Table:
+        """A table of a frame with __i: all rows, and their numbers as the order."""
+        out = self._new(df.select(*map(quoted, self.headers), *cols, F.col("__i").alias(ORD)), True)
+        out._dense = True
+        return out
+
     def _python(self, fn: Callable, kind: str, whole_row: bool = True) -> Callable[..., Column]:
         """An Arrow UDF of a Python function of a row or a cell."""
         names = self.headers
@@ -478,7 +488,7 @@ class Table:
             df = ordered.over_rows(df, "__i", n if way == "lag" else 0, n if way == "lead" else 0, lambda w: {name: fn(quoted(col), n, "").over(w)})
         else:
             df = df.withColumn(name, quoted(col))
-        return self._new(df.select(*map(quoted, [*self.headers, name]), ORD))
+        return self._numbered(df, quoted(name))
 
     def lag(self, col: str, out_col: str, n: int) -> Table:
         return self._shifted("Lag", col, out_col, n, "lag")
@@ -511,7 +521,7 @@ class Table:
         size = max(size, 1)
         env, name = self._env(), unique_name(out_col, self.headers)
         df = ordered.over_rows(self._indexed(), "__i", size - 1, 0, lambda w: {"__x": agg.rolling(env, w.rowsBetween(-(size - 1), 0))})
-        return self._new(df.select(*map(quoted, self.headers), agg.text(F.col("__x")).alias(name), ORD))
+        return self._numbered(df, agg.text(F.col("__x")).alias(name))
 
     def _filled(self, op: str, col: str, forward: bool) -> Table:
         if col not in self.headers:
@@ -818,11 +828,12 @@ class MutableTable(Table):
     def __init__(self, table: Table | DataFrame, errs: Iterable[Exception] = (), source: str = "", stable: bool = False):
         if isinstance(table, Table):
             super().__init__(table._df, table._errs, table._source, table._stable)
+            self._dense = table._dense
         else:
             super().__init__(table, errs, source, stable)
 
     def _become(self, other: Table) -> MutableTable:
-        self._df, self._errs, self._source, self._stable = other._df, list(other._errs), other._source, other._stable
+        self._df, self._errs, self._source, self._stable, self._dense = other._df, list(other._errs), other._source, other._stable, other._dense
         return self
 
     def reset_errs(self) -> None:
@@ -856,7 +867,7 @@ def _in_place(name: str):
     operate = getattr(Table, name)
 
     def run(self, *args, **kwargs):
-        before = MutableTable(self._df, self._errs, self._source, self._stable)
+        before = MutableTable(self)
         made = operate(before, *args, **kwargs)
         if isinstance(made, Ok):
             self._become(made.value)
