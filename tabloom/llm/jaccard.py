@@ -47,6 +47,8 @@ LEVEL = 768
 HOT = 1 << 15
 #: Leaders that a large posting offers its nodes in the first round (the second round is exact for any number).
 LEADERS = 64
+#: Nodes (16 bytes each) that are broadcast at most to fetch their texts.
+NEEDED = 1_000_000
 _NO_ID = (1 << 63) - 1
 
 
@@ -361,8 +363,9 @@ def _verify(batches) -> Iterator:
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links; nodes has node and print, docs has id and text."""
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = need.join(nodes.select("node", "print"), "node").withColumnRenamed("node", "id")
-    sets = docs.join(need, "id").select("text", F.col("id").alias("node"), "print").mapInArrow(_sets, "node long, set binary")
+    need = save(need.join(nodes.select("node", "print"), "node").withColumnRenamed("node", "id"), "needed")
+    # two numbers a row: up to NEEDED rows they go to all tasks, beyond that texts are shuffled to them
+    sets = docs.join(F.broadcast(need) if need.count() <= NEEDED else need, "id").select("text", F.col("id").alias("node"), "print").mapInArrow(_sets, "node long, set binary")
     sets = save(sets.dropDuplicates(["node"]) if docs_repeat(docs) else sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return save(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"), "verified")
@@ -421,3 +424,13 @@ def op6_jaccard_join(spark, sf_dir):
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .jaccard import op6_jaccard_join
+from .jaccard import OP6_SQL, op6_jaccard_join
 from .licenses import OP2_SQL, op2_license_scan
 from .media import op8_media_columns
 from .mixing import OP9_SQL, op9_mix_sources
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL = {"op2_license_scan": OP2_SQL, "op5_url_filter": OP5_SQL, "op7_exact_topk": OP7_SQL, "op9_mix_sources": OP9_SQL}
+SQL = {"op2_license_scan": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_exact_topk": OP7_SQL, "op9_mix_sources": OP9_SQL}
