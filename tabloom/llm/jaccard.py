@@ -42,6 +42,8 @@ from .common import LOWER, MIX, NOT_SPACE, U, chunks, runs, save, span_hash, spl
 from .components import components
 
 SHINGLE, GROUPS, LEAF = 5, 128, 64
+#: The largest count that a vector keeps; it stands for that many or more.
+FULL = 15
 #: From this size on, each doubling of a set doubles the groups.
 LEVEL = 768
 HOT = 1 << 15
@@ -98,6 +100,18 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def _halves(counts: np.ndarray) -> bytes:
+    """Counts, at most FULL, two to a byte: group i with group i + half of them."""
+    low, high = np.minimum(counts, FULL).astype(np.uint8).reshape(2, -1)
+    return (low | (high << 4)).tobytes()
+
+
+def _counts(raw: list[bytes]) -> np.ndarray:
+    """Count vectors, one a row."""
+    packed = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return np.concatenate((packed & 15, packed >> 4), axis=1)
+
+
 def _profile(batches) -> Iterator:
     """(id, text) to id, n, print, vector, prefix."""
     import pyarrow as pa
@@ -113,7 +127,7 @@ def _profile(batches) -> Iterator:
             low = (h >> U(16)).astype(np.int64)
             level = level_of(n).tolist()
             packed, p = _pack(h), prefix_length(n)
-            count = lambda x, k: np.minimum(np.bincount(x & ((GROUPS << k) - 1), minlength=GROUPS << k), 255).astype(np.uint8).tobytes()
+            count = lambda x, k: _halves(np.bincount(x & ((GROUPS << k) - 1), minlength=GROUPS << k))
             vectors = pa.array([count(low[a:b], k) for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), level, strict=True)], pa.binary())
             prefix = pa.array([packed[a : a + k].tobytes() for a, k in zip(at[:-1].tolist(), p.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n), pa.array(prints, mask=n == 0), vectors, prefix], names=["id", "n", "print", "vector", "prefix"])
@@ -140,7 +154,7 @@ def _levels(batches) -> Iterator:
         vector = batch.column(3).to_pylist()
         level = level_of(n)
         down = np.flatnonzero((level > 0) & (level_of(-(-4 * n // 5)) < level))
-        fold = lambda raw: np.minimum(np.frombuffer(raw, np.uint8).reshape(2, -1).sum(0, dtype=np.int64), 255).astype(np.uint8).tobytes()
+        fold = lambda raw: _halves(_counts([raw]).reshape(2, -1).sum(0, dtype=np.int64))
         rows = np.concatenate((np.arange(len(n)), down))
         native = np.arange(len(rows)) < len(n)
         cols = [own[rows], node[rows], np.concatenate((level, level[down] - 1)), native]
@@ -188,6 +202,29 @@ def _shared(batches) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(n[i]), pa.array(own[i]), pa.array(at[i]), pa.array(place[i])], names=["hash", "n", "print", "at", "place"])
 
 
+def _near_sizes(batches) -> Iterator:
+    """Rows sorted by hash and n that have another row of their hash within a quarter of their size (then a neighbour is)."""
+    import pyarrow as pa
+
+    held, sure = None, False
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate((x, c)) for x, c in zip(held, cols, strict=True)]
+        h, n = cols[:2]
+        ok = np.zeros(len(h), bool)
+        ok[0] = sure
+        near = (h[1:] == h[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+        ok[1:] |= near
+        ok[:-1] |= near
+        held, sure = [c[-1:] for c in cols], bool(ok[-1])
+        i = np.flatnonzero(ok[:-1])
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i]) for c in cols], names=batch.schema.names)
+    if sure:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["hash", "n", "print", "at", "place"])
+
+
 def _allows(bound, n_a, n_b):
     """Whether an overlap of at most bound can reach a similarity of 4/5."""
     return 9 * bound >= 4 * (n_a + n_b)
@@ -198,16 +235,20 @@ def _meets(a, b, n, rest):
     return (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & _allows(np.minimum(rest[a], rest[b]), n[a], n[b])
 
 
-def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, v: np.ndarray, long: np.ndarray) -> np.ndarray:
+def _overlap(least: np.ndarray) -> np.ndarray:
+    """The largest overlap that coordinate minima (a row each) leave room for; where both counts are full, any."""
+    return least.sum(1, dtype=np.int64) + ((least == FULL).any(1).astype(np.int64) << 40)
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, v: np.ndarray) -> np.ndarray:
     ok = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 15):
         i, j = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-        bound = np.minimum(v[i], v[j]).sum(1, dtype=np.int64)
-        ok[at : at + (1 << 15)] = _allows(bound, n[i], n[j]) | (long[i] & long[j])
+        ok[at : at + (1 << 15)] = _allows(_overlap(np.minimum(v[i], v[j])), n[i], n[j])
     return ok
 
 
-def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, long: np.ndarray, native: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, native: np.ndarray, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points, one of them native, whose bound allows a link; with side only across sides, with comp only across components."""
     spread = v.std(axis=0)
     wide = np.argsort(-spread)[:2]
@@ -216,14 +257,12 @@ def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, long: np.ndarray,
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     top = np.stack([v[x].max(axis=0) for x in leaves])
     lo, hi = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    open_ = np.array([long[x].any() for x in leaves])
     one = np.array([comp[x[0]] if (comp[x] == comp[x[0]]).all() else -1 for x in leaves]) if comp is not None else None
     found_a, found_b = [], []
     for i, x in enumerate(leaves):
         j = np.arange(i, len(leaves))
         j = j[(5 * hi[j] >= 4 * lo[i]) & (5 * hi[i] >= 4 * lo[j])]
-        bound = np.minimum(top[i], top[j]).sum(1, dtype=np.int64)
-        j = j[_allows(bound, lo[i], lo[j]) | (open_[i] & open_[j])]
+        j = j[_allows(_overlap(np.minimum(top[i], top[j])), lo[i], lo[j])]
         if one is not None and one[i] >= 0:
             j = j[one[j] != one[i]]
         for y in (leaves[k] for k in j):
@@ -236,7 +275,7 @@ def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, long: np.ndarray,
                 keep &= side[a] != side[b]
             a, b = a[keep], b[keep]
             if len(a):
-                ok = _bounded(a, b, n, v, long)
+                ok = _bounded(a, b, n, v)
                 found_a.append(a[ok])
                 found_b.append(b[ok])
     if not found_a:
@@ -244,7 +283,7 @@ def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, long: np.ndarray,
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _leader_pairs(n, rest, v, long, native, node):
+def _leader_pairs(n, rest, v, native, node):
     """Each node with the first of some leaders (smallest nodes) that its bound allows."""
     order = np.argsort(node, kind="stable")
     leader = np.full(len(n), -1)
@@ -252,7 +291,7 @@ def _leader_pairs(n, rest, v, long, native, node):
         free = order[(leader[order] < 0) & (node[order] > node[x])]
         free = free[_meets(free, np.full(len(free), x), n, rest) & (native[free] | native[x])]
         if len(free):
-            leader[free[_bounded(np.full(len(free), x), free, n, v, long)]] = x
+            leader[free[_bounded(np.full(len(free), x), free, n, v)]] = x
     a = np.flatnonzero(leader >= 0)
     return a, leader[a]
 
@@ -263,13 +302,11 @@ def _match(first_round: bool):
     def pairs_of(h, level, block, other, side, native, n, at, node, raw, comp):
         for k in np.unique(level).tolist():
             x = np.flatnonzero(level == k)
-            v = np.frombuffer(b"".join(raw[x].tolist()), np.uint8).reshape(len(x), -1)
-            yield level_pairs(h[x], block[x], other[x], side[x], native[x], n[x], n[x] - at[x], node[x], v, comp[x])
+            yield level_pairs(h[x], block[x], other[x], side[x], native[x], n[x], n[x] - at[x], node[x], _counts(raw[x].tolist()), comp[x])
 
     def level_pairs(h, block, other, side, native, n, rest, node, v, comp):
         import pyarrow as pa
 
-        long = (v == 255).any(axis=1)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1]) | (other[1:] != other[:-1])
         start = np.flatnonzero(new)
@@ -284,16 +321,16 @@ def _match(first_round: bool):
                 if not first_round:
                     keep &= comp[a] != comp[b]
                 a, b = a[keep], b[keep]
-                ok = _bounded(a, b, n, v, long)
+                ok = _bounded(a, b, n, v)
                 found.append((a[ok], b[ok]))
         for s, k in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
             x = slice(s, s + k)
             if first_round:
-                a, b = _leader_pairs(n[x], rest[x], v[x], long[x], native[x], node[x])
+                a, b = _leader_pairs(n[x], rest[x], v[x], native[x], node[x])
             elif (comp[x] == comp[s]).all():
                 continue
             else:
-                a, b = tree_pairs(n[x], rest[x], v[x], long[x], native[x], side[x] if block[s] != other[s] else None, comp[x])
+                a, b = tree_pairs(n[x], rest[x], v[x], native[x], side[x] if block[s] != other[s] else None, comp[x])
             found.append((a + s, b + s))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
@@ -378,7 +415,7 @@ def docs_repeat(docs: DataFrame) -> bool:
 def _blocks(shared: DataFrame, hot: int) -> DataFrame:
     """shared with block, other and side; rows of a hash with more than hot nodes stand in each pair of blocks that sizes allow."""
     plain = [F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")]
-    busy = shared.filter(F.col("place") == hot).select("hash")
+    busy = shared.filter(F.col("place") >= hot).select("hash").distinct()
     if not busy.limit(1).count():
         return shared.select("hash", *plain, "n", "print", "at")
     calm = shared.join(busy, "hash", "left_anti").select("hash", *plain, "n", "print", "at")
@@ -400,7 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = save(profile.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "nodes")
     known = profile.filter("n > 0")
     post = known.select("n", "print", "prefix").mapInArrow(_post, "hash long, n long, print long, at long")
-    shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(_shared, "hash long, n long, print long, at long, place long")
+    shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(lambda batches: _near_sizes(_shared(batches)), "hash long, n long, print long, at long, place long")
     shared = save(shared, "shared")
     vectors = known.select("print", F.col("id").alias("node"), "n", "vector").join(nodes, ["print", "node"]).dropDuplicates(["print"])
     vectors = vectors.select("print", "node", "n", "vector").mapInArrow(_levels, "print long, node long, level long, native boolean, vector binary")

@@ -297,12 +297,13 @@ def test_op6_families_over_size_levels(spark):
 def test_op6_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
     base = rng.poisson(4, (12, 128))
-    v = np.clip(base[rng.integers(0, 12, 500)] + rng.integers(-1, 2, (500, 128)) * (rng.random((500, 128)) < 0.1), 0, 254).astype(np.uint8)
-    n, no, yes = v.sum(1, dtype=np.int64), np.zeros(500, bool), np.ones(500, bool)
-    a, b = jaccard.tree_pairs(n, n, v, no, yes)
+    v = np.clip(base[rng.integers(0, 12, 500)] + rng.integers(-1, 2, (500, 128)) * (rng.random((500, 128)) < 0.1), 0, 15).astype(np.uint8)
+    n, yes = v.sum(1, dtype=np.int64), np.ones(500, bool)
+    a, b = jaccard.tree_pairs(n, n, v, yes)
     i, j = np.triu_indices(500, 1)
-    want = jaccard._bounded(i, j, n, v, no) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
+    want = jaccard._bounded(i, j, n, v) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(x) for x in zip(i[want].tolist(), j[want].tolist(), strict=True)}
+    assert (jaccard._counts([jaccard._halves(x) for x in v]) == v).all()
 
 
 def test_op6_odd_rows(spark):
