@@ -6,7 +6,8 @@ corpus is removed.  The corpus is dealt into groups that can be judged alone:
 1. The least hash of a window's 32-byte grams is its anchor, so equal windows
    have equal anchors.  Neighbouring windows with one anchor place form a piece.
    Pieces are sorted by anchor and content; all pieces with the same content but
-   the first are repeats as a whole.
+   the first are repeats as a whole (within a chunk of texts already before they
+   are dealt, so that a common passage is few rows of its anchor).
 2. Only pieces whose anchor has several contents (or a tie within itself) are
    fetched as bytes.  Sorted by anchor, they are read in buckets of about a
    megabyte.  A bucket's Burrows-Wheeler transform is cut into runs of one
@@ -33,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _TABLE, MIX, U, chunks, save, span_hash, splitmix
+from .common import _TABLE, MIX, U, chunks, save, span_hash, splitmix, spread
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -151,6 +152,12 @@ def _emit(**columns):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def _mask(flags: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(flags)
+
+
 def _cut(batches) -> Iterator:
     """(doc, copy, text) to pieces."""
     for batch in batches:
@@ -159,8 +166,17 @@ def _cut(batches) -> Iterator:
             anchor, start, windows, tie = pieces(part.data, part.off)
             if len(start):
                 i = np.searchsorted(part.off, start, "right") - 1
-                content = span_hash(part.data, start, start + windows + LENGTH - 1)
-                yield _emit(anchor=anchor.view(np.int64), content=content.view(np.int64), doc=doc[part.first + i], pos=(copy[part.first + i] << COPY) + start - part.off[i], windows=windows.astype(np.int32), tie=tie)
+                content = span_hash(part.data, start, start + windows + LENGTH - 1).view(np.int64)
+                anchor, own, pos = anchor.view(np.int64), doc[part.first + i], (copy[part.first + i] << COPY) + start - part.off[i]
+                # of equal pieces the earliest goes to its anchor; the others are repeats wherever they are dealt to
+                order = np.lexsort((pos, own, content, anchor))
+                anchor, content, own, pos, windows, tie = (x[order] for x in (anchor, content, own, pos, windows, tie))
+                whole, twin = np.zeros(len(order), bool), np.zeros(len(order), bool)
+                whole[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+                twin[1:] = whole[1:] & (own[1:] == own[:-1]) & (pos[1:] == pos[:-1])
+                dealt = np.where(whole, splitmix((own * 31 + pos).view(np.uint64)).view(np.int64), anchor)
+                kept = ~twin
+                yield _emit(dealt=dealt[kept], anchor=anchor[kept], content=content[kept], doc=own[kept], pos=pos[kept], windows=windows[kept].astype(np.int32), tie=tie[kept], whole=whole[kept])
 
 
 def _judge(batches) -> Iterator:
@@ -169,6 +185,11 @@ def _judge(batches) -> Iterator:
     One pass with one held row: the first content of the anchor read last."""
     last, held, contents = None, None, 0
     for batch in batches:
+        sure = batch.column(batch.schema.get_field_index("whole")).to_numpy(zero_copy_only=False)
+        if sure.any():
+            at = np.flatnonzero(sure)
+            yield _emit(**{c: x[at] for c, x in zip(("anchor", "doc", "pos", "windows"), _arrays(batch, "anchor", "doc", "pos", "windows"), strict=True)}, fetch=np.zeros(len(at), bool))
+            batch = batch.filter(_mask(~sure))
         if not batch.num_rows:
             continue
         anchor, content, doc, pos, windows, tie = _arrays(batch, "anchor", "content", "doc", "pos", "windows", "tie")
@@ -345,13 +366,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         docs = docs.withColumn("copy", F.lit(0).cast("long"))
     own = docs.select("doc", "copy", "text")
-    cut = own.mapInArrow(_cut, "anchor long, content long, doc long, pos long, windows int, tie boolean")
-    cut = cut.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "pos")
+    cut = own.mapInArrow(_cut, "dealt long, anchor long, content long, doc long, pos long, windows int, tie boolean, whole boolean")
+    cut = cut.repartition("dealt").sortWithinPartitions("dealt", "content", "doc", "pos").drop("dealt")
     judged = save(cut.mapInArrow(_judge, "anchor long, doc long, pos long, windows int, fetch boolean"), "pieces")
     number = F.shiftright("pos", COPY).alias("copy")
     marks = judged.filter("fetch").groupBy("doc", number).agg(F.collect_list(F.struct("pos", "windows", "anchor")).alias("marks"))
     fetched = own.join(marks, ["doc", "copy"]).mapInArrow(_fetch, "anchor long, doc long, pos long, bytes binary")
-    fetched = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc", "pos")
+    # few bytes, but a lot of work for each: tasks by rows, not by bytes
+    fetched = fetched.repartition(spread(judged.filter("fetch"), 10_000), "anchor").sortWithinPartitions("anchor", "doc", "pos")
     found = save(fetched.mapInArrow(_compare, _FOUND), "matches")
     spans = judged.filter("NOT fetch").select("doc", "pos", "windows").unionByName(found.filter("NOT single").select("doc", "pos", "windows"))
     if found.filter("single").limit(1).count():
