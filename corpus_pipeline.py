@@ -19,11 +19,21 @@ from pyspark.sql import functions as F
 from tabloom.llm import jaccard, mixing, packing, quality, secrets
 from tabloom.llm.common import save, table
 
+#: Rows of three numbers that are broadcast at most; beyond that texts are shuffled to them.
+PLANNED = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can't express a learnt classifier or a tokenizer; the tests hold run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
+#: Rows in a batch between the JVM and Python; the default of 10,000 texts holds tens of MB on either side.
+BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def _like(docs: DataFrame, text) -> DataFrame:
     """docs with a new text, and n_chars to match."""
     return docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
@@ -31,6 +41,7 @@ def _like(docs: DataFrame, text) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from the labelled documents among these."""
+    _small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, keep=COLUMNS)
     return scored.filter(F.col("score") >= quality.THRESHOLD).select(*[c for c in COLUMNS if c in docs.columns])
@@ -40,6 +51,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Keep the document with the smallest id of each group of near copies (of several rows with that id, one).
 
     Documents without words link with nothing; each is a group of its own."""
+    _small_batches(spark)
     found = jaccard.near_duplicates(docs)
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
@@ -67,7 +79,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text twice; where a source's share ends within a document, the words up to
     there are kept.
     """
-    found = mixing.mix_sources(docs, keep=docs.columns).filter("taken > 0").select("kept.*", "size", "taken")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count():
+        found = mixing.mix_sources(docs, keep=docs.columns).filter("taken > 0").select("kept.*", "size", "taken")
+    else:  # ids tell documents apart, so texts need not go through the mix
+        plan = save(mixing.mix_sources(docs).filter("taken > 0").select("doc_id", "size", "taken"), "mix")
+        found = docs.join(F.broadcast(plan) if plan.count() <= PLANNED else plan, "doc_id")
     rest = F.pmod("taken", "size").cast("int")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     part = F.array_join(F.slice(words, 1, rest), " ")
@@ -78,6 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs, packing.vocabulary_path())
 
 
