@@ -376,6 +376,36 @@ def test_op8_odd_rows_and_long_pairs(spark):
     assert media.media_columns(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def plain_pairs(payload):
+    """All pairs of the two strongest bins (but the lowest) of each frame with those of the next three."""
+    window, peaks = np.hanning(64).astype(np.float32), []
+    for at in range(0, len(payload) - 63, 32):
+        frame = (np.frombuffer(payload[at : at + 64], np.uint8).astype(np.float32) - 128) * window
+        peaks.append(np.argsort(-np.abs(np.fft.rfft(frame))[1:], kind="stable")[:2].tolist())
+    return sorted((t << 12) | (x << 7) | (y << 2) | d for t in range(len(peaks)) for d in (1, 2, 3) if t + d < len(peaks) for x in peaks[t] for y in peaks[t + d])
+
+
+def test_op8_fingerprint_holds_every_pair(spark):
+    rng = random.Random(5)
+    passage, a, b = (" ".join(f"w{rng.randrange(9999)}" for _ in range(n)) for n in (200, 80, 80))
+    whole = lambda text, n: text[:n].ljust(n)
+    texts = {1: whole(a, 320) + passage, 2: whole(b, 320) + passage, 3: passage, 4: ""}
+    found = media.media_columns(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep_pairs=True)
+    assert dict(found.dtypes)["fingerprint"] == "array<bigint>"
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, t in texts.items():
+        payload = t.encode() + bytes(-len(t) % 64 or (0 if t else 64))
+        want = plain_pairs(payload) if t else []
+        assert got[i]["fingerprint"] == want and got[i]["feature"].split(":")[0] == str(len(want))
+    later = lambda i: {c for c in got[i]["fingerprint"] if c >> 12 >= 10}
+    assert later(1) == later(2) == {c + (10 << 12) for c in got[3]["fingerprint"]}
+
+
+def test_op8_query_returns_the_fingerprint(spark):
+    rows = media.op8_media_columns(spark, SF).collect()
+    assert all(len(r["fingerprint"]) == int(r["feature"].split(":")[0]) for r in rows) and any(len(r["fingerprint"]) > media.KEEP for r in rows)
+
+
 # -- 9: mixing ------------------------------------------------------------------------------------
 
 
