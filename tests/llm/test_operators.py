@@ -443,6 +443,28 @@ def test_op9_odd_rows(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_op9_takes_every_target_whole(spark):
+    rows = [(i, "w " * 40, "hot") for i in range(900)] + [(1000 + i, "w " * (1 + 7 * i % 90), f"tiny{i:02}") for i in range(60)] + [(2000, "w " * 50, None), (2001, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, keep=["source"]).collect()
+    taken, target, slots = Counter(), {}, defaultdict(set)
+    for r in got:
+        s = r["kept"]["source"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert (r["first_slot"] is not None) == (r["taken"] > 0)
+        slots[r["first_slot"]].add(s)
+    assert {s: taken[s] for s in target} == {s: int(t) for s, t in target.items()}
+    assert all(len(x) == 1 for slot, x in slots.items() if slot is not None)
+
+
+def test_op9_missing_slots_follow_the_schedule(spark):
+    sources = spark.createDataFrame([(0, 640), (1, 1), (2, 0), (3, 200)], "pos int, whole long")
+    slots = spark.createDataFrame([(i, 0, i) for i in range(13)] + [(13, 3, 0)], "slot long, pos int, rank long")
+    got = sorted(tuple(r) for r in mixing.missing(sources, slots, 14).collect())
+    assert got == [(14, 1, 0), (15, 3, 1), (16, 3, 2), (17, 3, 3)]
+
+
 def test_op9_schedule_is_even(spark):
     sources = spark.createDataFrame([(0, 0, 1 << 31), (1, 1 << 31, 3 << 30), (2, 3 << 30, 1 << 32)], "pos int, lo long, hi long")
     slots = sorted(tuple(r) for r in mixing.schedule(spark, sources, 4000).select("slot", "pos", "rank").collect())
