@@ -50,15 +50,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies (of several rows with that id, one).
 
+    Rows without an id are documents of their own, and stand after all ids.
     Documents without words link with nothing; each is a group of its own."""
     _small_batches(spark)
-    found = jaccard.near_duplicates(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1 OR doc_id IS NULL").drop("__n")
-    return kept
+    columns, key = docs.columns, "doc_id"
+    if docs.filter("doc_id IS NULL").limit(1).count():
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        none = save(docs.filter("doc_id IS NULL").withColumn("__id", F.monotonically_increasing_id() + (top + 1)), "without_id")
+        docs, key = docs.filter("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id")).unionByName(none), "__id"
+    found = jaccard.near_duplicates(docs, id_col=key)
+    heads = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = docs.join(heads, key, "left_semi")
+    one = Window.partitionBy(key).orderBy(F.xxhash64("text"), "text", "lang", "source")
+    if docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        kept = kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    return kept.select(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

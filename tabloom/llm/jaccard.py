@@ -24,9 +24,11 @@ result exact.  A posting with more than ``hot`` nodes is dealt into blocks by si
 and each pair of blocks that sizes allow is a task's work.
 
 Null, empty and blank texts have an empty set and link with nothing; with fewer
-than five words the whole sequence is one shingle.  Rows that share an id are
-one document with several texts, and so in one component.  Null ids give a null
-component unless linked with another id.  An empty table gives an empty result;
+than five words the whole sequence is one shingle.  Nodes are named by a hash of
+their set (its print); ids come in only at the end, and a component is named by the
+smallest id in it.  Rows that share an id are one document with several texts, and
+so in one component.  A text with a null id is a document of its own: its component
+is null unless it is linked with another id.  An empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -49,7 +51,7 @@ LEVEL = 768
 HOT = 1 << 15
 #: Leaders that a large posting offers its nodes in the first round (the second round is exact for any number).
 LEADERS = 64
-#: Nodes (16 bytes each) that are broadcast at most to fetch their texts.
+#: Nodes (24 bytes each) that are broadcast at most to fetch their texts.
 NEEDED = 1_000_000
 _NO_ID = (1 << 63) - 1
 
@@ -113,7 +115,7 @@ def _counts(raw: list[bytes]) -> np.ndarray:
 
 
 def _profile(batches) -> Iterator:
-    """(id, text) to id, n, print, vector, prefix."""
+    """(id, text, key) to id, key, n, print, vector, prefix."""
     import pyarrow as pa
 
     for batch in batches:
@@ -130,7 +132,7 @@ def _profile(batches) -> Iterator:
             count = lambda x, k: _halves(np.bincount(x & ((GROUPS << k) - 1), minlength=GROUPS << k))
             vectors = pa.array([count(low[a:b], k) for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), level, strict=True)], pa.binary())
             prefix = pa.array([packed[a : a + k].tobytes() for a, k in zip(at[:-1].tolist(), p.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n), pa.array(prints, mask=n == 0), vectors, prefix], names=["id", "n", "print", "vector", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), batch.column(2).slice(part.first, len(part)), pa.array(n), pa.array(prints, mask=n == 0), vectors, prefix], names=["id", "key", "n", "print", "vector", "prefix"])
 
 
 def _post(batches) -> Iterator:
@@ -146,19 +148,19 @@ def _post(batches) -> Iterator:
 
 
 def _levels(batches) -> Iterator:
-    """(print, node, n, vector) to a row at the node's own level, and one at the level below where a set of that level may link."""
+    """(print, n, vector) to a row at the node's own level, and one at the level below where a set of that level may link."""
     import pyarrow as pa
 
     for batch in batches:
-        own, node, n = (batch.column(i).to_numpy() for i in range(3))
-        vector = batch.column(3).to_pylist()
+        own, n = (batch.column(i).to_numpy() for i in range(2))
+        vector = batch.column(2).to_pylist()
         level = level_of(n)
         down = np.flatnonzero((level > 0) & (level_of(-(-4 * n // 5)) < level))
         fold = lambda raw: _halves(_counts([raw]).reshape(2, -1).sum(0, dtype=np.int64))
         rows = np.concatenate((np.arange(len(n)), down))
         native = np.arange(len(rows)) < len(n)
-        cols = [own[rows], node[rows], np.concatenate((level, level[down] - 1)), native]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([*vector, *(fold(vector[i]) for i in down)], pa.binary())], names=["print", "node", "level", "native", "vector"])
+        cols = [own[rows], np.concatenate((level, level[down] - 1)), native]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([*vector, *(fold(vector[i]) for i in down)], pa.binary())], names=["print", "level", "native", "vector"])
 
 
 def _shared(batches) -> Iterator:
@@ -257,14 +259,15 @@ def tree_pairs(n: np.ndarray, rest: np.ndarray, v: np.ndarray, native: np.ndarra
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     top = np.stack([v[x].max(axis=0) for x in leaves])
     lo, hi = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    one = np.array([comp[x[0]] if (comp[x] == comp[x[0]]).all() else -1 for x in leaves]) if comp is not None else None
+    one = np.array([comp[x[0]] for x in leaves]) if comp is not None else None
+    pure = np.array([(comp[x] == comp[x[0]]).all() for x in leaves]) if comp is not None else None
     found_a, found_b = [], []
     for i, x in enumerate(leaves):
         j = np.arange(i, len(leaves))
         j = j[(5 * hi[j] >= 4 * lo[i]) & (5 * hi[i] >= 4 * lo[j])]
         j = j[_allows(_overlap(np.minimum(top[i], top[j])), lo[i], lo[j])]
-        if one is not None and one[i] >= 0:
-            j = j[one[j] != one[i]]
+        if one is not None and pure[i]:
+            j = j[~pure[j] | (one[j] != one[i])]
         for y in (leaves[k] for k in j):
             a, b = np.repeat(x, len(y)), np.tile(y, len(x))
             keep = (a < b) if x is y else np.ones(len(a), bool)
@@ -366,11 +369,11 @@ def _match(first_round: bool):
 
 
 def _sets(batches) -> Iterator:
-    """(text, node, print) to node and set where the text has that print."""
+    """(text, print) to node (the print) and set where the text has that print."""
     import pyarrow as pa
 
     for batch in batches:
-        own = batch.column(2).to_numpy()
+        own = batch.column(1).to_numpy()
         for part in chunks(batch.column(0)):
             h, at = shingle_sets(part.data, part.off)
             n = np.diff(at)
@@ -397,21 +400,17 @@ def _verify(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links; nodes has node and print, docs has id and text."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = save(need.join(nodes.select("node", "print"), "node").withColumnRenamed("node", "id"), "needed")
-    # two numbers a row: up to NEEDED rows they go to all tasks, beyond that texts are shuffled to them
-    sets = docs.join(F.broadcast(need) if need.count() <= NEEDED else need, "id").select("text", F.col("id").alias("node"), "print").mapInArrow(_sets, "node long, set binary")
-    sets = save(sets.dropDuplicates(["node"]) if docs_repeat(docs) else sets, "sets")
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The pairs (a, b) that are links; nodes has print, and id and key of one of its texts; docs has id, key and text, with repeats some id twice."""
+    need = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
+    need = save(need.join(nodes, "print").select("id", "key", "print"), "needed")
+    # three numbers a row: up to NEEDED rows they go to all tasks, beyond that texts are shuffled to them
+    sets = docs.join(F.broadcast(need) if need.count() <= NEEDED else need, ["id", "key"]).select("text", "print").mapInArrow(_sets, "node long, set binary")
+    sets = save(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return save(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"), "verified")
 
 
-def docs_repeat(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
-
-
 def _blocks(shared: DataFrame, hot: int) -> DataFrame:
     """shared with block, other and side; rows of a hash with more than hot nodes stand in each pair of blocks that sizes allow."""
     plain = [F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")]
@@ -433,26 +432,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id."""
     kind = docs.schema[id_col].dataType
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = save(docs.mapInArrow(_profile, "id long, n long, print long, vector binary, prefix binary"), "profiles")
-    nodes = save(profile.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "nodes")
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    profile = save(docs.select("id", "text", "key").mapInArrow(_profile, "id long, key long, n long, print long, vector binary, prefix binary"), "profiles")
     known = profile.filter("n > 0")
+    nodes = save(known.groupBy("print").agg(F.min("id").alias("id"), F.min_by("key", "id").alias("key")), "nodes")
+    again = profile.groupBy("id").agg(F.count("*").alias("rows"), F.count("print").alias("filled"), F.min("print").alias("lo"), F.max("print").alias("hi"))
+    again = save(again.filter("rows > 1"), "again")
+    repeats = bool(again.limit(1).count())
+    again = again.filter(F.col("id") != _NO_ID)
     post = known.select("n", "print", "prefix").mapInArrow(_post, "hash long, n long, print long, at long")
     shared = post.repartition("hash").sortWithinPartitions("hash", "n", "print").mapInArrow(lambda batches: _near_sizes(_shared(batches)), "hash long, n long, print long, at long, place long")
     shared = save(shared, "shared")
-    vectors = known.select("print", F.col("id").alias("node"), "n", "vector").join(nodes, ["print", "node"]).dropDuplicates(["print"])
-    vectors = vectors.select("print", "node", "n", "vector").mapInArrow(_levels, "print long, node long, level long, native boolean, vector binary")
-    post = save(_blocks(shared, hot).join(vectors, "print"), "postings")
+    vectors = known.select("print", "n", "vector").dropDuplicates(["print"])
+    vectors = vectors.mapInArrow(_levels, "print long, level long, native boolean, vector binary")
+    post = save(_blocks(shared, hot).join(vectors, "print"), "postings").withColumnRenamed("print", "node")
     keys = ["hash", "level", "block", "other"]
     columns = [*keys, "side", "native", "n", "at", "node", "vector"]
     first = post.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(_match(True), "a long, b long")
-    first = _linked(save(first.groupBy("a").agg(F.min("b").alias("b")), "pairs"), nodes, docs)
+    first = _linked(save(first.groupBy("a").agg(F.min("b").alias("b")), "pairs"), nodes, docs, repeats)
+    if again.filter("lo <> hi").limit(1).count():  # the texts of an id
+        same = known.select("id", "print").join(again.filter("lo <> hi").select("id", "lo"), "id")
+        first = save(first.unionByName(same.filter("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b")).distinct()), "linked")
     part = components(first)
     labelled = post.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = labelled.select(*columns, "component").repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(_match(False), "a long, b long")
-    rest = _linked(save(rest.distinct(), "pairs"), nodes, docs)
-    found = components(first.unionByName(rest))
-    found = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
+    rest = _linked(save(rest.distinct(), "pairs"), nodes, docs, repeats)
+    found = nodes.select("print", "id").join(components(first.unionByName(rest)).withColumnRenamed("node", "print"), "print")
+    names = found.groupBy("component").agg(F.min("id").alias("name"))
+    found = found.join(names, "component").select("print", "name")
+    found = nodes.join(found, "print", "left").select("print", F.coalesce("name", "id").alias("component"))
     out = profile.select("id", F.col("n").alias("n_shingles"), "print").join(found, "print", "left")
+    mixed = again.filter("filled > 0 AND filled < rows").select("id")
+    if mixed.limit(1).count():  # rows without words of an id that has texts as well
+        of_id = out.join(mixed, "id").groupBy("id").agg(F.min("component").alias("own"))
+        out = out.join(of_id, "id", "left").withColumn("component", F.coalesce("component", "own"))
     given = lambda c: F.when(c != _NO_ID, c).cast(kind)
     return out.select(given(F.col("id")).alias(id_col), "n_shingles", given(F.coalesce("component", "id")).alias("component_id"))
 

@@ -314,6 +314,19 @@ def test_op6_odd_rows(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_op6_ids_with_several_texts_and_without(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " tail"
+    rows = [(9, near("y")), (7, text("x")), (7, text("y")), (12, near("x")), (5, near("z")), (None, text("z")), (None, text("q")), (None, near("q")), (20, text("v")), (20, text("w")), (20, None), (15, near("w")), (30, text("u"))]
+    rows += [(None, text(f"n{i}_")) for i in range(10)]
+    random.Random(1).shuffle(rows)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    want = {9: 7, 7: 7, 12: 7, 5: 5, 20: 15, 15: 15, 30: 30}
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(want.items())
+    assert Counter(r["component_id"] for r in got if r["doc_id"] is None) == {5: 1, None: 12}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 120)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -44,6 +44,16 @@ def test_one_document_of_each_group_stays(stages):
     assert Counter(r["doc_id"] for r in stages[2].collect()) == Counter(want)
 
 
+def test_documents_without_id_stay_unless_copies(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    texts = [(1, text("a")), (None, text("a") + " tail"), (None, text("b")), (None, text("b") + " tail"), (None, text("c")), (None, None), (None, None), (2, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] and r["text"][0]) for r in kept.collect())
+    assert got == {(1, "a"): 1, (2, "d"): 1, (None, "b"): 1, (None, "c"): 1, (None, None): 2}
+
+
 def test_secrets_go_and_the_rest_stays(stages):
     spans = {r["doc_id"]: r["s"] for r in secrets.find_secrets(stages[2]).select("doc_id", secrets.span_list(secrets.KINDS).alias("s")).collect()}
     after = {r["doc_id"]: r for r in stages[3].collect()}
