@@ -148,12 +148,14 @@ def partition_rows(spark, sf_dir):
 
 
 def _join_sides(spark, sf_dir):
-    people = from_frame(_t(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_name"), "c_custkey")
-    orders = from_frame(_t(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("c_name")), "o_orderkey")
+    """All customers and orders; keys that a side lacks are rewritten, so that both sides have rows without a partner."""
+    key = F.when(F.col("c_custkey") % 3 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    people = from_frame(_t(spark, sf_dir, "customer").select("c_custkey", key.alias("key"), "c_name"), "c_custkey").drop("c_custkey").rename("key", "c_custkey")
+    orders = from_frame(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("c_name")), "o_orderkey")
     return people, orders
 
 
-_SIDES = "WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey % 2 = 0) "
+_SIDES = "WITH c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_name FROM customer), o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders) "
 _PICK = "CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS c_custkey, coalesce(c_name, '') AS c_name, o_orderkey, coalesce(o_orderpriority, '') AS c_name_2 FROM c"
 
 
@@ -188,7 +190,7 @@ def join_anti(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+WITH l AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1)
 SELECT c_custkey, coalesce(v, '') AS last_priority FROM customer LEFT JOIN l ON c_custkey = o_custkey""")
 def lookup_last(spark, sf_dir):
     _, orders = _join_sides(spark, sf_dir)
