@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.result import Err, Ok, Result
+from ..storage import open_output
 from ..table import ORD, Table, new, session, unique_names
 
 #: A text that no cell holds, so that empty cells aren't read as nulls.
@@ -66,6 +67,28 @@ class CSVReader:
             return Ok(new(rows[0], rows[1:]))
         return Ok(new(list(self.names or (f"col_{i}" for i in range(len(rows[0])))), rows))
 
+    def read(self, source) -> Result:
+        """An open text or binary file of a small text, parsed on the driver."""
+        data = source.read()
+        return self.read_string(data.decode() if isinstance(data, bytes) else data)
+
+    def read_stream(self, source, chunk_size: int = 1000) -> Iterator[Table]:
+        """Tables of at most chunk_size rows of an open text file, parsed as they are asked for; rows are padded or cut to the first one's width."""
+        size, held, names = chunk_size if chunk_size > 0 else 1000, [], None
+        for r in csv.reader(source, delimiter=self.separator, strict=True):
+            if not r:
+                continue
+            if names is None:
+                names = r if self.header else list(self.names or (f"col_{i}" for i in range(len(r))))
+                if self.header:
+                    continue
+            held.append(r)
+            if len(held) == size:
+                yield new(names, held)
+                held = []
+        if held:
+            yield new(names, held)
+
     def read_file_stream(self, path: str, chunk_size: int = 1000) -> Iterator[Table]:
         """Tables of at most chunk_size rows, read as they are asked for."""
         from ..streaming.chunks import chunked
@@ -79,11 +102,12 @@ class CSVWriter:
     separator: str = ","
 
     def write_file(self, path: str, table: Table) -> None:
-        """One local file, streamed row by row in order."""
-        with open(path, "w", encoding="utf-8", newline="") as out:
-            self._write(out, table)
+        """One file at any path that Spark writes to, streamed row by row in order."""
+        with open_output(path, text=True) as out:
+            self.write(out, table)
 
-    def _write(self, out, table: Table) -> None:
+    def write(self, out, table: Table) -> None:
+        """The rows in order to an open text file."""
         w = csv.writer(out, delimiter=self.separator, lineterminator="\n")
         if self.header:
             w.writerow(table.headers)
@@ -96,7 +120,7 @@ class CSVWriter:
 
     def to_string(self, table: Table) -> str:
         out = io.StringIO()
-        self._write(out, table)
+        self.write(out, table)
         return out.getvalue()
 
 

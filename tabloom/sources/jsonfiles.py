@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import quoted
 from ..operators import jsontext
 from ..plans.result import Err, Ok, Result
+from ..storage import open_output
 from ..table import ORD, Table, session, unique_names
 
 
@@ -80,6 +82,11 @@ class JSONReader:
         except Exception as error:
             return Err(error)
 
+    def read(self, source) -> Result:
+        """An open text or binary file."""
+        data = source.read()
+        return self.read_bytes(data) if isinstance(data, bytes) else self.read_string(data)
+
     def read_bytes(self, data: bytes) -> Result:
         return self.read_string(data.decode())
 
@@ -113,17 +120,30 @@ class JSONWriter:
         for r in table.df.select(*map(quoted, names)).toLocalIterator():
             yield dict(zip(names, r, strict=True))
 
-    def to_string(self, table: Table) -> str:
+    def write(self, out, table: Table) -> None:
+        """The objects in order to an open text file, one at a time."""
+        separators = (",", ": ") if self.indent else (",", ":")
+        one = lambda r: json.dumps(r, ensure_ascii=False, indent=self.indent, separators=separators)
         if self.ndjson:
-            return "".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")) + "\n" for r in self._rows(table))
-        rows = list(self._rows(table))
-        if not rows:
-            return "[]"
-        return json.dumps(rows, ensure_ascii=False, indent=self.indent, separators=(",", ": ") if self.indent else (",", ":"))
+            for r in self._rows(table):
+                out.write(json.dumps(r, ensure_ascii=False, separators=(",", ":")) + "\n")
+            return
+        lead = "\n" + self.indent if self.indent else ""
+        some = False
+        for r in self._rows(table):
+            out.write(("," if some else "[") + lead + one(r).replace("\n", lead or "\n"))
+            some = True
+        out.write(("\n" if self.indent else "") + "]" if some else "[]")
+
+    def to_string(self, table: Table) -> str:
+        out = io.StringIO()
+        self.write(out, table)
+        return out.getvalue()
 
     def write_file(self, path: str, table: Table) -> None:
-        with open(path, "w", encoding="utf-8") as out:
-            out.write(self.to_string(table))
+        """One file at any path that Spark writes to."""
+        with open_output(path, text=True) as out:
+            self.write(out, table)
 
     def write_folder(self, path: str, table: Table) -> None:
         """Objects, one a line, in part files written in parallel."""

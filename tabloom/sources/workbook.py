@@ -113,6 +113,10 @@ class ExcelReader:
             table = new(list(self.names or (f"col_{i}" for i in range(width))), rows)
         return Ok(table if isinstance(path, bytes) else table.with_source(os.path.basename(path)))
 
+    def read(self, source) -> Result:
+        """An open binary file."""
+        return self.read_file(source.read())
+
     def read_bytes(self, data: bytes) -> Result:
         return self.read_file(data)
 
@@ -129,7 +133,11 @@ class ExcelReader:
         df = read.select("path", F.posexplode(F.udf(rows, "array<array<string>>")("content")).alias("i", "r"))
         return Table(df.select(*(F.get("r", i).alias(n) for i, n in enumerate(unique_names(names))), F.struct("path", "i").alias(ORD)))
 
-    def read_file_stream(self, path: str, chunk_size: int = 1000) -> Iterator[Table]:
+    def read_stream(self, source, chunk_size: int = 1000) -> Iterator[Table]:
+        """As read_file_stream, of an open binary file."""
+        yield from self.read_file_stream(source.read(), chunk_size)
+
+    def read_file_stream(self, path: str | bytes, chunk_size: int = 1000) -> Iterator[Table]:
         """Tables of at most chunk_size rows; rows are padded or cut to the header's width."""
         rows = self._rows(path)
         first = next(rows, None)
@@ -147,5 +155,7 @@ class ExcelReader:
             yield new(names, held)
 
 
-def sheet_names(path: str | bytes) -> list[str]:
+def sheet_names(path) -> list[str]:
+    """Of a path, bytes or an open binary file."""
+    path = path.read() if hasattr(path, "read") else path
     return [n for n, _ in sheet_parts(path if isinstance(path, bytes) else _bytes(path))]

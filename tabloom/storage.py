@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
@@ -22,3 +23,30 @@ def materialise(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/tabloom/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+class _Output(io.RawIOBase):
+    """A file that Spark's stores hold, written from the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        self._out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytes(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+        super().close()
+
+
+def open_output(path: str, text: bool = False):
+    """A buffered file at any path that Spark writes to, for what is written row by row in order."""
+    raw = io.BufferedWriter(_Output(SparkSession.getActiveSession(), path), 1 << 20)
+    return io.TextIOWrapper(raw, encoding="utf-8", newline="") if text else raw

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tabloom import catalog
+from tabloom import catalog, catalog_api  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
