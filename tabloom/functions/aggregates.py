@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from .expr import Env
-from .values import number, present, shortest
+from .values import present, shortest
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class Agg:
     def raw(self, env: Env) -> Column:
         """The aggregate itself (of "join": the list of cells), in the order of the rows where that counts."""
         c = env.cell(self.col)
-        return {"sum": F.sum(number(c)), "mean": F.avg(number(c)), "count": F.count(present(c)), "join": F.collect_list(present(c)), "first": F.first(c), "last": F.last(c)}[self.kind]
+        return {"sum": lambda: F.sum(env.number(self.col)), "mean": lambda: F.avg(env.number(self.col)), "count": lambda: F.count(present(c)), "join": lambda: F.collect_list(present(c)), "first": lambda: F.first(c), "last": lambda: F.last(c)}[self.kind]()
 
     def grouped(self, env: Env, order: Column) -> Column:
         """As raw, for groups whose rows come in no order: order tells them apart."""

@@ -8,21 +8,38 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import number
+
 
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and back-ticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Before the name of a column as its source has it, which a table carries until the cell is changed.
+RAW = "__raw_"
+
+
 class Env:
-    """What a row expression sees: a table's cells; a missing column reads as empty."""
+    """What a row expression sees: a table's cells; a missing column reads as empty.
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    raws names the columns that the frame also has as the source has them, "text" or
+    "number"; filters on those reach the source, and numbers aren't parsed again."""
+
+    def __init__(self, names: list[str], raws: dict[str, str] | None = None):
+        self.names, self.raws = names, raws or {}
 
     def cell(self, name: str) -> Column:
         return quoted(name) if name in self.names else F.lit("")
 
+    def text(self, name: str) -> Column | None:
+        """The source's text, null where the cell is empty for want of it."""
+        return quoted(RAW + name) if self.raws.get(name) == "text" else None
+
+    def number(self, name: str) -> Column:
+        """A double, or null where the cell isn't a number."""
+        return quoted(RAW + name).cast("double") if self.raws.get(name) == "number" else number(self.cell(name))
+
 
 class Expr:
     """A function of a row, as a Column once the table is known."""

@@ -8,11 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expr import Env, Expr
-from .values import number
 
 
 def _x(env: Env, col: str) -> Column:
-    return F.coalesce(number(env.cell(col)), F.lit(0.0))
+    return F.coalesce(env.number(col), F.lit(0.0))
 
 
 def _fold(cols, op) -> Expr:

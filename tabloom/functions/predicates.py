@@ -9,24 +9,40 @@ from pyspark.sql import functions as F
 from .expr import Expr, and_, not_, or_  # noqa: F401
 
 
+def _of(col: str, on_cell, on_text=None) -> Expr:
+    """A predicate of a cell, or of the source's text where the table still has it (a null is an empty cell)."""
+    def made(env):
+        text = env.text(col)
+        return on_cell(env.cell(col)) if text is None or on_text is None else on_text(text)
+
+    return Expr(made)
+
+
 def eq(col: str, val: str) -> Expr:
-    return Expr(lambda env: env.cell(col) == F.lit(val))
+    test = lambda c: c == F.lit(val)
+    return _of(col, test, lambda t: t.isNotNull() & test(t) if val else t.isNull() | test(t))
 
 
 def ne(col: str, val: str) -> Expr:
-    return Expr(lambda env: env.cell(col) != F.lit(val))
+    test = lambda c: c != F.lit(val)
+    return _of(col, test, lambda t: t.isNull() | test(t) if val else t.isNotNull() & test(t))
+
+
+def _part(col: str, part: str, test) -> Expr:
+    """A test that an empty cell fails unless part is empty."""
+    return _of(col, test, (lambda t: t.isNotNull() & test(t)) if part else None)
 
 
 def contains(col: str, sub: str) -> Expr:
-    return Expr(lambda env: env.cell(col).contains(F.lit(sub)))
+    return _part(col, sub, lambda c: c.contains(F.lit(sub)))
 
 
 def prefix(col: str, start: str) -> Expr:
-    return Expr(lambda env: env.cell(col).startswith(F.lit(start)))
+    return _part(col, start, lambda c: c.startswith(F.lit(start)))
 
 
 def suffix(col: str, end: str) -> Expr:
-    return Expr(lambda env: env.cell(col).endswith(F.lit(end)))
+    return _part(col, end, lambda c: c.endswith(F.lit(end)))
 
 
 def matches(col: str, pattern: str) -> Expr:

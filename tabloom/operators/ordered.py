@@ -10,19 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Numbers of the order in one slice, as a power of two.
 SLICE = 16
 
 
-def _before(slices: DataFrame, by: str, cols: dict[str, Column]) -> DataFrame:
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return slices.select(by, *(c.over(w).alias(n) for n, c in cols.items()))
+#: Slices in one group of slices, as a power of two; groups are as few as 1 in 2 ** 28 rows.
+GROUP = 12
+
+
+def _before(slices: DataFrame, by: str, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None) -> DataFrame:
+    """by, and for each slice the sum (the last value that isn't null) of a column over all slices before it; new name: column.
+
+    Slices are taken in groups, and what crosses a group's border comes from a table with one row a group."""
+    sums, lasts = sums or {}, lasts or {}
+    cut = slices.withColumn("__g", F.shiftright(F.col(by), GROUP))
+    ends = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(n) for n, c in lasts.items()]
+    w = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = cut.groupBy("__g").agg(*ends)
+    groups = groups.select("__g", *(F.sum(n).over(w).alias(f"__u_{n}") for n in sums), *(F.last(n, ignorenulls=True).over(w).alias(f"__u_{n}") for n in lasts))
+    w = Window.partitionBy("__g").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.select(by, "__g", *(F.sum(c).over(w).alias(n) for n, c in sums.items()), *(F.last(c, ignorenulls=True).over(w).alias(n) for n, c in lasts.items()))
+    both = cut.join(groups, "__g")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    made = [F.when(F.col(n).isNull() & F.col(f"__u_{n}").isNull(), None).otherwise(zero(F.col(n)) + zero(F.col(f"__u_{n}"))).alias(n) for n in sums]
+    return both.select(by, *made, *(F.coalesce(n, f"__u_{n}").alias(n) for n in lasts))
 
 
 def dense_index(df: DataFrame, order: str, out: str = "__i") -> DataFrame:
     """df with out: 0, 1, 2, ... in the order of a unique long column."""
     cut = df.withColumn("__s", F.shiftright(F.col(order), SLICE))
-    sizes = _before(cut.groupBy("__s").agg(F.count("*").alias("n")), "__s", {"__before": F.sum("n")})
+    sizes = _before(cut.groupBy("__s").agg(F.count("*").alias("n")), "__s", {"__before": "n"})
     own = F.row_number().over(Window.partitionBy("__s").orderBy(order)) - 1
     return cut.withColumn(out, own).join(sizes, "__s").withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop("__s", "__before")
 
@@ -46,7 +65,7 @@ def running_sums(df: DataFrame, order: str, cols: dict[str, Column]) -> DataFram
     """df with the running sum of each column (nulls count as nothing) in the order of a unique long column."""
     cut = df.withColumn("__s", F.shiftright(F.col(order), SLICE)).withColumns({f"__x_{n}": c for n, c in cols.items()})
     sums = cut.groupBy("__s").agg(*(F.sum(f"__x_{n}").alias(f"__t_{n}") for n in cols))
-    before = _before(sums, "__s", {f"__b_{n}": F.sum(f"__t_{n}") for n in cols})
+    before = _before(sums, "__s", {f"__b_{n}": f"__t_{n}" for n in cols})
     w = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.select("*", *(F.sum(f"__x_{n}").over(w).alias(f"__o_{n}") for n in cols)).join(before, "__s")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -60,29 +79,87 @@ def fill(df: DataFrame, order: str, value: Column, out: str, forward: bool = Tru
     cut = df.withColumn("__x", value).withColumn("__w", way).withColumn("__s", F.shiftright("__w", SLICE))
     ends = cut.filter(F.col("__x").isNotNull()).groupBy("__s").agg(F.max_by("__x", "__w").alias("v"))
     slices = cut.select("__s").distinct().join(ends, "__s", "left")
-    carried = _before(slices, "__s", {"__c": F.last("v", ignorenulls=True)})
+    carried = _before(slices, "__s", lasts={"__c": "v"})
     w = Window.partitionBy("__s").orderBy("__w").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("__y", F.last("__x", ignorenulls=True).over(w)).join(carried, "__s")
     return cut.withColumn(out, F.coalesce("__y", "__c")).drop("__x", "__w", "__s", "__y", "__c")
 
 
-def dense_rank(df: DataFrame, value: str, out: str, ascending: bool = True, cells: int = 256) -> DataFrame:
+def dense_rank(df: DataFrame, value: str, out: str, ascending: bool = True, rows: int = 500_000) -> DataFrame:
     """df with out: the dense rank of a numeric column, null where it is null.
 
-    Distinct values are cut into cells by quantiles, ranked within, and shifted by the counts of the cells before."""
-    values = df.select(F.col(value).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
-    cuts = values.agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__v"))) if cuts else F.lit(0)
-    if not ascending:
-        cell = -cell
-    values = values.withColumn("__s", cell.cast("long"))
-    sizes = _before(values.groupBy("__s").agg(F.count("*").alias("n")), "__s", {"__before": F.sum("n")})
-    own = F.row_number().over(Window.partitionBy("__s").orderBy(F.col("__v").asc() if ascending else F.col("__v").desc()))
+    Distinct values are dealt by range into cells of about ``rows``, ranked within, and shifted by the counts of the cells before."""
+    way = F.col("__v").asc() if ascending else F.col("__v").desc()
+    values = materialise(df.select(F.col(value).alias("__v")).filter(F.col("__v").isNotNull()).distinct())
+    cells = max(1, -(-values.count() // rows))
+    values = materialise(values.repartitionByRange(cells, way).withColumn("__s", F.spark_partition_id().cast("long"))) if cells > 1 else values.withColumn("__s", F.lit(0).cast("long"))
+    sizes = _before(values.groupBy("__s").agg(F.count("*").alias("n")), "__s", {"__before": "n"})
+    own = F.row_number().over(Window.partitionBy("__s").orderBy(way))
     ranks = values.withColumn("__r", own).join(sizes, "__s").select("__v", (F.col("__r") + F.coalesce("__before", F.lit(0))).alias(out))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
+#: Values about the middle that the driver takes at most.
+MIDDLE = 65_536
+
+
+def _kth(values: DataFrame, places: list[int]) -> list[float]:
+    """The values at places (from 0) of a table of values x that stand n times each, in order."""
+    cells = max(1, -(-values.count() // MIDDLE))
+    cut = materialise(values.repartitionByRange(cells, "x").withColumn("s", F.spark_partition_id()))
+    sizes = sorted((r["s"], r["n"]) for r in cut.groupBy("s").agg(F.sum("n").alias("n")).collect())
+    out = []
+    for place in places:
+        for s, n in sizes:
+            if place < n:
+                break
+            place -= n
+        w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        one = cut.filter(F.col("s") == s).withColumn("upto", F.sum("n").over(w))
+        out.append(one.filter(F.col("upto") > place).orderBy("x").first()["x"])
+    return out
+
+
+def around_middle(c: Column) -> Column:
+    """Two values with the middle between them, by a sketch of bounded size."""
+    return F.percentile_approx(c, [0.4998, 0.5002], 10_000)
+
+
+def medians(df: DataFrame, cols: dict[str, Column], known: dict[str, tuple[int, list[float] | None]] | None = None) -> dict[str, float | None]:
+    """Exact medians of numeric columns without nulls; known: the count and around_middle of each, where an aggregate has them.
+
+    Only values between the two are counted one by one, a few in ten thousand rows unless they repeat."""
+    if known is None:
+        row = df.agg(*(x for i, c in enumerate(cols.values()) for x in (F.count(c).alias(f"n{i}"), around_middle(c).alias(f"m{i}")))).first()
+        known = {name: (row[f"n{i}"], row[f"m{i}"]) for i, name in enumerate(cols)}
+    out: dict[str, float | None] = {name: None for name in cols}
+    live = [name for name in cols if known[name][0]]
+    if not live:
+        return out
+    ends = {name: known[name][1] for name in live}
+    base = df.select(*(cols[name].cast("double").alias(f"c{i}") for i, name in enumerate(live)))
+    inside = F.array(*(F.struct(F.lit(i).alias("i"), F.when((F.col(f"c{i}") >= ends[n][0]) & (F.col(f"c{i}") <= ends[n][1]), F.col(f"c{i}")).alias("x"), F.when(F.col(f"c{i}") < ends[n][0], 1).alias("low")) for i, n in enumerate(live)))
+    rows = base.select(F.explode(inside).alias("e")).filter("e.x IS NOT NULL OR e.low IS NOT NULL")
+    found = materialise(rows.groupBy("e.i", "e.x").agg(F.count("*").alias("n")))
+    low = {r["i"]: r["n"] for r in found.filter("x IS NULL").collect()}
+    sizes = {r["i"]: r["n"] for r in found.filter("x IS NOT NULL").groupBy("i").agg(F.count("*").alias("n")).collect()}
+    few = {i: [] for i, n in sizes.items() if n <= MIDDLE // len(live)}
+    for r in found.filter(F.col("x").isNotNull() & F.col("i").isin(list(few))).collect():  # MIDDLE rows at most
+        few[r["i"]].append((r["x"], r["n"]))
+    for i, name in enumerate(live):
+        n = known[name][0]
+        places = [(n - 1) // 2 - low.get(i, 0), n // 2 - low.get(i, 0)]
+        if i in few:
+            got, upto = [], 0
+            for x, k in sorted(few[i], key=lambda r: (r[0] != r[0], r[0])):
+                got += [x for p in places if upto <= p < upto + k]
+                upto += k
+        else:
+            got = _kth(found.filter((F.col("i") == i) & F.col("x").isNotNull()).select("x", "n"), places)
+        out[name] = (got[0] + got[1]) / 2 if got[0] != got[1] else got[0]
+    return out
+
+
 def head(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(max(n, 0))
 

@@ -18,6 +18,10 @@ from ..table import ORD, MutableTable, Row, Table, concat, new
 from .result import Err, Ok, Result
 
 
+#: Rejected rows that the driver takes at most.
+ENTRIES = 1_000_000
+
+
 @dataclass(frozen=True)
 class StepRecord:
     """A named step: rows before and after, and seconds (plan and count)."""
@@ -28,6 +32,12 @@ class StepRecord:
     seconds: float
 
 
+class Trace(list):
+    """Step records, and the frame that the last step made with its number of rows."""
+
+    last: tuple[DataFrame, int] | None = None
+
+
 @dataclass(frozen=True)
 class ErrorEntry:
     source: str
@@ -48,6 +58,9 @@ class ErrorLog:
         self._parts.append((source, step, names, rejected))
 
     def entries(self) -> list[ErrorEntry]:
+        """All rejected rows, ENTRIES at most; to_table takes any number."""
+        if self.len() > ENTRIES:
+            raise ValueError(f"more than {ENTRIES} rejected rows; use to_table")
         out = []
         for source, step, names, df in self._parts:
             out += [ErrorEntry(source, step, r["__i"], r["__error"], {n: r[n] for n in names}) for r in df.orderBy("__i").collect()]
@@ -182,15 +195,19 @@ class Pipeline:
         return [self] if isinstance(self.held, Err) else [self._next(Ok(t)) for t in self.held.value.chunk(n)]
 
     def with_tracing(self) -> Pipeline:
-        return type(self)(self.held, self.log, [])
+        return type(self)(self.held, self.log, Trace())
 
     def _traced(self, name: str, run: Callable[[], Pipeline]) -> Pipeline:
         if self.records is None or not self.is_ok():
             return run()
-        before, began = self.held.value.len(), time.monotonic()
+        # the rows a step starts from are those the step before it ended with, counted once
+        last = getattr(self.records, "last", None)
+        before = last[1] if last is not None and last[0] is self.held.value._df else self.held.value.len()
+        began = time.monotonic()
         out = run()
         after = out.held.value.len() if out.is_ok() else 0
         self.records.append(StepRecord(name, before, after, time.monotonic() - began))
+        self.records.last = (out.held.value._df, after) if out.is_ok() else None
         return out
 
     def step(self, name: str, fn: Callable[[Table], Table]) -> Pipeline:

@@ -7,11 +7,19 @@ from enum import IntEnum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions import predicates
 from .functions.expr import quoted
 from .functions.values import integer, moment, number, present, shortest, trimmed, truth
+from .operators import ordered
 from .plans.result import Err, Ok, Result
 from .storage import materialise
-from .table import ORD, Row, Table
+from .table import ORD, Row, Table, new, session
+
+
+#: Slices of rows whose types one task puts together.
+SLICES = 4096
+#: Different values that freq_map hands to the driver at most.
+VALUES = 1_000_000
 
 
 class ColType(IntEnum):
@@ -97,19 +105,19 @@ def infer(table: Table) -> Schema:
         return F.when(c != "", F.array(*to))
 
     df = table._long().select(ORD, *(step(quoted(n)).alias(f"m{i}") for i, n in enumerate(names)))
-    width = 12
-    df = df.withColumn("s", F.shiftright(ORD, width))
     whole = F.array(*map(F.lit, types))
     compose = lambda a, m: F.transform(a, lambda k: F.get(m, k))
-    for level in (0, 1):
-        cols = []
-        for i in range(len(names)):
-            kept = F.array_sort(F.collect_list(F.when(F.col(f"m{i}").isNotNull(), F.struct(F.col(ORD).alias("o"), F.col(f"m{i}").alias("m")))))
-            cols.append(F.aggregate(kept, whole, lambda a, x: compose(a, x["m"])).alias(f"m{i}"))
-        if level == 0:
-            df = df.groupBy("s").agg(*cols).withColumn(ORD, F.col("s"))
-        else:
-            df = df.agg(*cols)
+
+    def composed(i: int) -> Column:
+        kept = F.array_sort(F.collect_list(F.when(F.col(f"m{i}").isNotNull(), F.struct(F.col(ORD).alias("o"), F.col(f"m{i}").alias("m")))))
+        return F.aggregate(kept, whole, lambda a, x: compose(a, x["m"])).alias(f"m{i}")
+
+    every = [composed(i) for i in range(len(names))]
+    df = df.groupBy(F.shiftright(ORD, 12).alias("s")).agg(*every).withColumnRenamed("s", ORD)
+    while (n := (df := materialise(df)).count()) > SLICES:  # ranges of slices, until their maps fit in a task
+        cut = df.repartitionByRange(-(-n // SLICES), ORD)
+        df = cut.groupBy(F.spark_partition_id().alias("s")).agg(*every).withColumnRenamed("s", ORD)
+    df = df.agg(*every)
     found = df.first()
     empty = _all_empty(table)
     return Schema({n: ColType.STRING if empty[n] else ColType(found[f"m{i}"][0]) for i, n in enumerate(names)})
@@ -159,66 +167,89 @@ def time_(row: Row, col: str, layout: str | None = None):
 # -- statistics -----------------------------------------------------------------------------------
 
 
-def _one(table: Table, col: str, fn, default):
+def _stats(table: Table, col: str):
+    """count, sum, avg, min, max, std, filled, and two values about the middle, of one column; worked out once a frame."""
+    if table.held.get("frame") is not table._df:
+        table.held = {"frame": table._df}
+    if col not in table.held:
+        x = table._env().number(col)
+        table.held[col] = table._df.agg(*_measures(x), F.count(present(quoted(col))).alias("filled")).first()
+    return table.held[col]
+
+
+def _measures(x: Column) -> list[Column]:
+    return [F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_pop(x).alias("std"), ordered.around_middle(x).alias("middle")]
+
+
+def _one(table: Table, col: str, name: str, default):
     if col not in table.headers:
         return default
-    found = table._df.agg(fn(number(quoted(col))).alias("x")).first()["x"]
+    found = _stats(table, col)[name]
     return default if found is None else found
 
 
 def sum_col(table: Table, col: str) -> float:
-    return _one(table, col, F.sum, 0.0)
+    return _one(table, col, "sum", 0.0)
 
 
 def mean_col(table: Table, col: str) -> float:
-    return _one(table, col, F.avg, 0.0)
+    return _one(table, col, "mean", 0.0)
 
 
 def min_col(table: Table, col: str) -> float:
-    return _one(table, col, F.min, 0.0)
+    return _one(table, col, "lo", 0.0)
 
 
 def max_col(table: Table, col: str) -> float:
-    return _one(table, col, F.max, 0.0)
+    return _one(table, col, "hi", 0.0)
 
 
 def median_col(table: Table, col: str) -> float:
-    return _one(table, col, F.median, 0.0)
+    if col not in table.headers:
+        return 0.0
+    row = _stats(table, col)
+    found = ordered.medians(table._df, {col: table._env().number(col)}, {col: (row["n"], row["middle"])})[col]
+    return 0.0 if found is None else found
 
 
 def std_dev_col(table: Table, col: str) -> float:
     """Of the population; 0 for fewer than two numbers."""
-    return _one(table, col, F.stddev_pop, 0.0)
+    return _one(table, col, "std", 0.0)
 
 
 def count_col(table: Table, col: str) -> int:
-    return table._df.agg(F.count(present(quoted(col)))).first()[0] if col in table.headers else 0
+    return _one(table, col, "filled", 0)
 
 
 def count_where(table: Table, col: str, val: str) -> int:
-    return table._df.filter(quoted(col) == F.lit(val)).count() if col in table.headers else 0
+    return table.where(predicates.eq(col, val)).len() if col in table.headers else 0
 
 
 def freq_map(table: Table, col: str) -> dict[str, int]:
+    """How often each cell stands; VALUES different ones at most, value_counts takes any number."""
     if col not in table.headers:
         return {}
-    return {r["v"]: r["n"] for r in table._df.groupBy(quoted(col).alias("v")).agg(F.count("*").alias("n")).collect()}
+    found = table._df.groupBy(quoted(col).alias("v")).agg(F.count("*").alias("n")).limit(VALUES + 1).collect()
+    if len(found) > VALUES:
+        raise ValueError(f"more than {VALUES} different cells; use value_counts")
+    return {r["v"]: r["n"] for r in found}
 
 
 def describe(table: Table) -> Table:
-    """column, count, min, max, mean, std, median: one row a column, in one pass."""
+    """column, count, min, max, mean, std, median: one row a column; one pass, and one for the middles."""
     names = ["column", "count", "min", "max", "mean", "std", "median"]
-    cols = []
-    for i, h in enumerate(table.headers):
-        x = number(quoted(h))
-        cols.append(F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.median(x).alias("median")).alias(f"s{i}"))
-    if not cols:
-        return Table(table._df.limit(0).select(*(F.lit("").alias(n) for n in names), ORD))
-    one = table._df.agg(*cols)
-    items = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(h).alias("h"), F.col(f"s{i}").alias("s")) for i, h in enumerate(table.headers)))
-    rows = one.select(F.explode(items).alias("x"))
-    cells = [F.col("x.h"), F.col("x.s.n").cast("string"), *(F.coalesce(shortest(F.col(f"x.s.{k}")), F.lit("")) for k in ("lo", "hi", "mean", "std", "median"))]
-    return Table(rows.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), F.col("x.i").alias(ORD)), stable=True)
+    heads = table.headers
+    if not heads:
+        return new(names, [])
+    env = table._env()
+    numbers = {h: env.number(h) for h in heads}
+    row = table._df.agg(*(F.struct(*_measures(x)).alias(f"s{i}") for i, x in enumerate(numbers.values()))).first()
+    found = {h: row[f"s{i}"] for i, h in enumerate(heads)}
+    middle = ordered.medians(table._df, numbers, {h: (r["n"], r["middle"]) for h, r in found.items()})
+    rows = [(h, r["n"], r["lo"], r["hi"], r["mean"], r["std"], middle[h], i) for i, (h, r) in enumerate(found.items())]
+    made = session().createDataFrame(rows, "column string, count long, min double, max double, mean double, std double, median double, i long")
+    cells = [F.col("column"), F.col("count").cast("string"), *(F.coalesce(shortest(F.col(k)), F.lit("")) for k in names[2:])]
+    return Table(made.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), F.col("i").alias(ORD)), stable=True)
 
 
 def min_max_norm(table: Table, col: str) -> Table:
@@ -226,5 +257,5 @@ def min_max_norm(table: Table, col: str) -> Table:
     low, high = min_col(table, col), max_col(table, col)
     if high == low or col not in table.headers:
         return table
-    x = number(quoted(col))
+    x = table._env().number(col)
     return table.map(col, F.coalesce(shortest((x - F.lit(low)) / F.lit(high - low)), quoted(col)))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .functions import predicates
 from .functions.aggregates import Agg
-from .functions.expr import Env, Expr, build, quoted
+from .functions.expr import RAW, Env, Expr, build, quoted
 from .functions.values import fixed, integer, number, present, shortest
 from .operators import jsontext, ordered, reshape
 from .operators.relational import blank
@@ -21,6 +21,8 @@ from .plans.result import Err, Ok, Result
 from .storage import materialise
 
 ORD = "__ord"
+#: Columns that cells or rows may become at most.
+NAMES = 10_000
 _STRICT = False
 
 
@@ -127,12 +129,14 @@ class Table:
     def __init__(self, df: DataFrame, errs: Iterable[Exception] = (), source: str = "", stable: bool = False):
         self._df, self._errs, self._source, self._stable = df, list(errs), source, stable
         self._dense = False  # whether __ord is 0, 1, 2, ...
+        self._known: tuple[DataFrame, dict[str, Column]] | None = None
+        self.held: dict = {}  # statistics of this frame's columns, once worked out
 
     # -- state ---------------------------------------------------------------------------------
 
     @property
     def headers(self) -> list[str]:
-        return [c for c in self._df.columns if c != ORD]
+        return [c for c in self._df.columns if c != ORD and not c.startswith(RAW)]
 
     @property
     def df(self) -> DataFrame:
@@ -203,7 +207,8 @@ class Table:
     # -- helpers -------------------------------------------------------------------------------
 
     def _env(self) -> Env:
-        return Env(self.headers)
+        raws = {c.removeprefix(RAW): "text" if kind == "string" else "number" for c, kind in self._df.dtypes if c.startswith(RAW)}
+        return Env(self.headers, raws)
 
     def _new(self, df: DataFrame, stable: bool | None = None) -> Table:
         return type(self)(df, self._errs, self._source, self._stable if stable is None else stable)
@@ -219,17 +224,21 @@ class Table:
         return self._fail(op, f'unknown column "{name}"')
 
     def _pick(self, cols: dict[str, Column], stable: bool | None = None) -> Table:
-        """A table with these columns, named as given."""
-        return self._new(self._df.select(*(c.alias(n) for n, c in cols.items()), ORD), stable)
+        """A table with these columns, named as given; what is unchanged keeps the source's column too."""
+        cells = self._cells()
+        raws = [RAW + n for n, c in cols.items() if c is cells.get(n) and RAW + n in self._df.columns]
+        return self._new(self._df.select(*(c.alias(n) for n, c in cols.items()), *map(quoted, raws), ORD), stable)
 
     def _cells(self) -> dict[str, Column]:
-        return {n: quoted(n) for n in self.headers}
+        if self._known is None or self._known[0] is not self._df:
+            self._known = (self._df, {n: quoted(n) for n in self.headers})
+        return dict(self._known[1])
 
     def _long(self) -> DataFrame:
         """The frame with a stable long order."""
         if self._stable:
             return self._df
-        numbered = self._df.orderBy(ORD).withColumn(ORD, F.monotonically_increasing_id())
+        numbered = self._df.select(*map(quoted, self.headers), ORD).orderBy(ORD).withColumn(ORD, F.monotonically_increasing_id())
         self._df, self._stable = materialise(numbered), True
         return self._df
 
@@ -343,7 +352,7 @@ class Table:
     def format_col(self, col: str, precision: int) -> Table:
         if col not in self.headers:
             return self._unknown("FormatCol", col)
-        return self._pick(self._cells() | {col: F.coalesce(fixed(number(quoted(col)), precision), quoted(col))})
+        return self._pick(self._cells() | {col: F.coalesce(fixed(self._env().number(col), precision), quoted(col))})
 
     def coalesce(self, name: str, *cols: str) -> Table:
         env = self._env()
@@ -352,7 +361,7 @@ class Table:
     def bin(self, col: str, name: str, bins: list[BinDef]) -> Table:
         if col not in self.headers:
             return self._unknown("Bin", col)
-        x = number(quoted(col))
+        x = self._env().number(col)
         label = F.lit(bins[-1].label if bins else "")
         for b in reversed(bins):
             label = F.when(x < F.lit(float(b.max)), F.lit(b.label)).otherwise(label)
@@ -361,14 +370,14 @@ class Table:
     # -- filters -------------------------------------------------------------------------------
 
     def where(self, fn) -> Table:
-        return self._new(self._df.filter(self._test(fn)))
+        return self._new(self._df.filter(self._of_row(fn, "boolean")))
 
     def drop_empty(self, *cols: str) -> Table:
         missing = [c for c in cols if c not in self.headers]
         if missing and self.mutable:
             return self._unknown("DropEmpty", missing[0])
         tested = [c for c in cols if c in self.headers] if cols else self.headers
-        return self._new(self._df.filter(reduce(lambda a, b: a & b, [quoted(c) != "" for c in tested], F.lit(True))))
+        return self._new(self._df.filter(reduce(lambda a, b: a & b, [predicates.ne(c, "").build(self._env()) for c in tested], F.lit(True))))
 
     def partition(self, fn) -> tuple[Table, Table]:
         test = self._test(fn)
@@ -514,7 +523,7 @@ class Table:
         if col not in self.headers:
             return self._unknown("Rank", col)
         name = unique_name(out_col, self.headers)
-        df = ordered.dense_rank(self._df.withColumn("__x", number(quoted(col))), "__x", "__rank", ascending)
+        df = ordered.dense_rank(self._df.withColumn("__x", self._env().number(col)), "__x", "__rank", ascending)
         return self._new(df.select(*map(quoted, self.headers), blank(F.col("__rank").cast("string")).alias(name), ORD))
 
     def rolling_agg(self, out_col: str, size: int, agg: Agg) -> Table:
@@ -636,8 +645,11 @@ class Table:
         return self._new(df.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), F.struct(F.col(ORD).alias("o"), F.col("__m.__p").alias("p")).alias(ORD)), False)
 
     def _first_seen(self, value: Column) -> list[str]:
-        """Distinct cells in the order in which they are first seen (they become names)."""
-        return [r["v"] for r in self._df.groupBy(value.alias("v")).agg(F.min(ORD).alias("o")).orderBy("o").collect()]
+        """Distinct cells in the order in which they are first seen; they become names, NAMES at most."""
+        found = self._df.groupBy(value.alias("v")).agg(F.min(ORD).alias("o")).orderBy("o").limit(NAMES + 1).collect()
+        if len(found) > NAMES:
+            raise ValueError(f"more than {NAMES} different cells can't become columns or tables")
+        return [r["v"] for r in found]
 
     def pivot(self, index: str, col: str, val: str) -> Table:
         out = self
@@ -654,9 +666,11 @@ class Table:
         return self._new(df.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), ORD))
 
     def transpose(self) -> Table:
-        """Columns become rows, named by `column`, and rows columns 0, 1, ..."""
+        """Columns become rows, named by `column`, and rows (NAMES at most) columns 0, 1, ..."""
         df = self._indexed()
         n = df.count()
+        if n > NAMES:
+            raise ValueError(f"more than {NAMES} rows can't become columns")
         long = df.select("__i", F.explode(reshape.melted(self.headers, quoted, "column", "__val")).alias("__m")).select("__i", "__m.*")
         made = [F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(str(i)) for i in range(n)]
         wide = long.groupBy("__p", "column").agg(F.count("*").alias("__n"), *made)
@@ -696,6 +710,7 @@ class Table:
         if paths:
             keys = list(paths)
         else:
+            df = materialise(df)  # read for its keys and for its cells, parsed once
             seen = df.select(ORD, F.posexplode("__json").alias("p", "f")).groupBy("f.k").agg(F.min(F.struct(ORD, "p")).alias("o"))
             keys = [r["k"] for r in seen.orderBy("o").collect()]
         if options.sorted_headers:
@@ -908,8 +923,10 @@ def from_frame(df: DataFrame, order: str | None = None) -> Table:
     """A table of a typed frame: cells as text, nulls empty; order names a unique long column that gives the row order."""
     names = unique_names(df.columns)
     cells = [(shortest(quoted(f.name)) if isinstance(f.dataType, T.DoubleType | T.FloatType) else quoted(f.name).cast("string")) for f in df.schema]
+    kept = T.StringType | T.ByteType | T.ShortType | T.IntegerType | T.LongType | T.DoubleType
+    raws = [quoted(f.name).alias(RAW + n) for f, n in zip(df.schema, names, strict=True) if isinstance(f.dataType, kept)]
     number_ = quoted(order).cast("long") if order else F.monotonically_increasing_id()
-    return Table(df.select(*(blank(c).alias(n) for c, n in zip(cells, names, strict=True)), number_.alias(ORD)), stable=True)
+    return Table(df.select(*(blank(c).alias(n) for c, n in zip(cells, names, strict=True)), *raws, number_.alias(ORD)), stable=order is not None)
 
 
 def concat(*tables: Table) -> Table:
