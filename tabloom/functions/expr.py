@@ -36,6 +36,13 @@ class Env:
         """The source's text, null where the cell is empty for want of it."""
         return quoted(RAW + name) if self.raws.get(name) == "text" else None
 
+    def missing(self, name: str) -> Column:
+        """Whether the cell is empty."""
+        text = self.text(name)
+        if text is not None:
+            return text.isNull() | (text == "")
+        return quoted(RAW + name).isNull() if name in self.raws else self.cell(name) == ""
+
     def number(self, name: str) -> Column:
         """A double, or null where the cell isn't a number."""
         return quoted(RAW + name).cast("double") if self.raws.get(name) == "number" else number(self.cell(name))

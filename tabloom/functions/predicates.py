@@ -19,13 +19,15 @@ def _of(col: str, on_cell, on_text=None) -> Expr:
 
 
 def eq(col: str, val: str) -> Expr:
-    test = lambda c: c == F.lit(val)
-    return _of(col, test, lambda t: t.isNotNull() & test(t) if val else t.isNull() | test(t))
+    if not val:
+        return Expr(lambda env: env.missing(col))
+    return _of(col, lambda c: c == F.lit(val), lambda t: t.isNotNull() & (t == F.lit(val)))
 
 
 def ne(col: str, val: str) -> Expr:
-    test = lambda c: c != F.lit(val)
-    return _of(col, test, lambda t: t.isNull() | test(t) if val else t.isNotNull() & test(t))
+    if not val:
+        return Expr(lambda env: ~env.missing(col))
+    return _of(col, lambda c: c != F.lit(val), lambda t: t.isNull() | (t != F.lit(val)))
 
 
 def _part(col: str, part: str, test) -> Expr:

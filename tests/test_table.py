@@ -13,7 +13,7 @@ from tabloom.plans import factories as step
 from tabloom.plans.pipeline import ErrorLog, MutablePipeline, Transform, compose, concat_pipelines, from_mutable, from_result, from_table
 from tabloom.sources.delimited import CSVReader, CSVWriter, to_string
 from tabloom.sources.jsonfiles import JSONReader, JSONWriter
-from tabloom.table import JSONOptions, set_strict
+from tabloom.table import JSONOptions, from_frame, set_strict
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -294,3 +294,90 @@ def test_order_operators_match_plain_python_across_slices(monkeypatch, values, n
     assert t.fill_forward("a").col("a") == want
     assert t.rolling_agg("j", n, tl.StringJoin("a", ",")).col("j") == [",".join(v for v in values[max(0, i - n + 1) : i + 1] if v) for i in range(len(values))]
     assert t.add_row_index("i").col("i") == [str(i) for i in range(len(values))]
+
+
+def odd_frame(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, None, None, None), (1, "", 0, nan), (2, "a", 1, -0.0), (3, "ab", -7, 2.5), (4, "b", 1 << 60, inf), (5, "a", 1, None), (6, "1", 3, 1e-7)]
+    return spark.createDataFrame(rows, "i long, s string, n long, d double")
+
+
+def changed(t):
+    """The same cells without the frame's own columns."""
+    for c in t.headers:
+        t = t.map_expr(c, lambda x: F.concat(x, F.lit("")))
+    return t
+
+
+def test_filters_and_numbers_of_a_frames_own_columns_are_those_of_its_cells(spark):
+    from tabloom.functions import predicates as p
+
+    own = from_frame(odd_frame(spark), "i")
+    cells = changed(own)
+    assert any("__raw" in c for c in own._df.columns) and not any("__raw" in c for c in cells._df.columns)
+    tests = [f(c, v) for f in (p.eq, p.ne, p.contains, p.prefix, p.suffix) for c in ("s", "n", "none") for v in ("", "a", "1")] + [f(c) for f in (p.empty, p.not_empty) for c in "snd"]
+    for test in [*tests, *(p.not_(x) for x in tests), p.or_(p.eq("s", "a"), p.not_(p.contains("s", "b")))]:
+        assert own.where(test).records() == cells.where(test).records()
+    assert own.drop_empty().records() == cells.drop_empty().records() and own.drop_empty("d", "s").records() == cells.drop_empty("d", "s").records()
+    made = [t.add_col_float("sum", numeric.add("n", "d")).add_col_float("twice", numeric.mul_const("n", 2)).bin("n", "bin", [tl.BinDef(1, "low"), tl.BinDef(5, "high")]).rank("n", "rank").records() for t in (own, cells)]
+    assert made[0] == made[1] and made[0][2][4:] == ["1", "2", "high", "3"]
+    assert own.rename_many({"s": "n", "n": "s"}).where(p.eq("s", "1")).col("i") == ["2", "5"]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    odd_frame(spark).write.parquet(f"file://{tmp_path}/t")
+    t = from_frame(spark.read.parquet(f"file://{tmp_path}/t"), "i")
+    plan = t.drop_empty("n").where(t.ne("s", "a")).where(t.prefix("s", "b"))._df._jdf.queryExecution().toString()
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line).split("PushedFilters")[1]
+    assert "IsNotNull(n)" in pushed and "StringStartsWith(s,b)" in pushed
+
+
+@pytest.mark.parametrize("middle", [ordered.MIDDLE, 3])
+def test_medians_are_exact(spark, monkeypatch, middle):
+    import numpy as np
+
+    monkeypatch.setattr(ordered, "MIDDLE", middle)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 3001):
+        x, y = rng.normal(0, 5, n), rng.integers(0, 4, n).astype(float)
+        df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y, strict=True)], "x double, y double, z double").repartition(3)
+        got = ordered.medians(df, {c: F.col(c) for c in "xyz"})
+        assert got == {"x": pytest.approx(np.median(x), rel=1e-12), "y": np.median(y), "z": None}
+    t = from_frame(spark.range(11).select((F.col("id") * 1.5).alias("v"), F.lit("x").alias("w")))
+    assert S.median_col(t, "v") == 7.5 and S.median_col(t, "w") == 0.0 and S.mean_col(t, "v") == 7.5 and S.count_col(t, "w") == 11 and S.min_col(t, "w") == 0.0
+
+
+def test_inference_and_ranks_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICES", 2)
+    cells = ["1"] * 9000 + ["2.5"] + ["3"] * 4000 + ["yes"] + ["1"] * 9000
+    t = from_frame(spark.createDataFrame([(i, c, "1" if i % 2 else "no") for i, c in enumerate(cells)], "i long, v string, b string").repartition(5), "i")
+    found = S.infer(t).cols()
+    monkeypatch.undo()
+    assert found == S.infer(t).cols() and found["i"] == S.ColType.INT
+    df = spark.createDataFrame([(float(i % 500),) for i in range(3000)], "x double")
+    for up in (True, False):
+        got = ordered.dense_rank(df, "x", "r", up, rows=70).distinct().collect()
+        assert sorted((r["x"], r["r"]) for r in got) == [(float(i), i + 1 if up else 500 - i) for i in range(500)]
+
+
+def test_limits_raise(monkeypatch):
+    from tabloom import table
+
+    monkeypatch.setattr(table, "NAMES", 2)
+    monkeypatch.setattr(S, "VALUES", 2)
+    t = tl.new(["a", "b"], [["x", "1"], ["y", "2"], ["z", "3"]])
+    for run in (lambda: t.pivot("b", "a", "b"), lambda: t.transpose(), lambda: t.group_by("a"), lambda: S.freq_map(t, "a")):
+        with pytest.raises(ValueError, match="more than 2"):
+            run()
+
+
+def test_slices_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE", 3)
+    monkeypatch.setattr(ordered, "GROUP", 2)
+    t = from_frame(spark.range(500).select("id", F.when(F.col("id") % 90 == 7, F.col("id")).alias("v")).repartition(4), "id")
+    t = t.cum_sum("id", "sum").fill_forward("v").add_row_index("place")
+    rows = t.select("id", "sum", "v", "place").records()
+    last = ""
+    for i, (a, s, v, p) in enumerate(rows):
+        last = str(i) if i % 90 == 7 else last
+        assert (a, s, v, p) == (str(i), str(i * (i + 1) // 2), last, str(i))
