@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.result import Err, Ok, Result
 from ..table import ORD, Table, new, session, unique_names
+from .encrypted import MAGIC, decrypted
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -23,10 +24,15 @@ def _bytes(path: str) -> bytes:
     found = session().read.format("binaryFile").load(path).select("content").first()
     if found is None:
         raise FileNotFoundError(path)
-    data = bytes(found[0])
-    if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        raise NotImplementedError("encrypted workbooks need a decryption library, which isn't available")
-    return data
+    return bytes(found[0])
+
+
+def _opened(data: bytes, password: str | None) -> bytes:
+    if data[:8] != MAGIC:
+        return data
+    if not password:
+        raise ValueError("excel: the workbook is encrypted and needs a password")
+    return decrypted(data, password)
 
 
 def sheet_parts(data: bytes) -> list[tuple[str, str]]:
@@ -86,9 +92,7 @@ class ExcelReader:
     password: str | None = None
 
     def _rows(self, path: str | bytes) -> Iterator[list[str]]:
-        if self.password:
-            raise NotImplementedError("encrypted workbooks need a decryption library, which isn't available")
-        data = path if isinstance(path, bytes) else _bytes(path)
+        data = _opened(path if isinstance(path, bytes) else _bytes(path), self.password)
         parts = sheet_parts(data)
         if self.sheet is not None:
             found = [p for n, p in parts if n == self.sheet]
@@ -121,7 +125,9 @@ class ExcelReader:
         return self.read_file(data)
 
     def read_folder(self, pattern: str, names: list[str]) -> Table:
-        """The sheet of the index of many workbooks, a workbook a task, under given column names; header rows are skipped."""
+        """The sheet of the index of many plain workbooks, a workbook a task, under given column names; header rows are skipped."""
+        if self.password:
+            raise ValueError("excel: encrypted workbooks are read one at a time")
         index, skip, width = self.sheet_index, 1 if self.header else 0, len(names)
 
         def rows(content) -> list[list[str]]:
@@ -155,7 +161,7 @@ class ExcelReader:
             yield new(names, held)
 
 
-def sheet_names(path) -> list[str]:
+def sheet_names(path, password: str | None = None) -> list[str]:
     """Of a path, bytes or an open binary file."""
     path = path.read() if hasattr(path, "read") else path
-    return [n for n, _ in sheet_parts(path if isinstance(path, bytes) else _bytes(path))]
+    return [n for n, _ in sheet_parts(_opened(path if isinstance(path, bytes) else _bytes(path), password))]
