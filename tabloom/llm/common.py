@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,32 +9,39 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 U = np.uint64
 MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tabloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Shuffle files go as soon as what read them is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: the lineage is cut,
-    the files outlive any executor, and shuffle files before it can go."""
+    the files outlive any executor, and shuffle files before it go."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tabloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(at)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.saved_at = at
+    return out
+
+
+def forget(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote, once all that was made of them is written."""
+    for df in saved:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
