@@ -44,9 +44,14 @@ def _table(spark, sf_dir, name, order, *cols) -> Table:
 
 def _out(table: Table, **kinds: str) -> DataFrame:
     """The rows with some columns as numbers (empty: null)."""
-    cell = lambda c: F.nullif(quoted(c), F.lit(""))
-    made = [(F.round(number(cell(c)), int(kinds[c][5:])) if kinds[c].startswith("round") else cell(c).cast(kinds[c])).alias(c) if c in kinds else quoted(c) for c in table.headers]
-    return table._df.select(*made)
+    env = table._env()
+
+    def typed(c: str, kind: str):
+        if kind.startswith("round"):
+            return F.round(env.number(c), int(kind[5:]))
+        return env.number(c) if kind == "double" else F.nullif(quoted(c), F.lit("")).cast(kind)
+
+    return table._df.select(*(typed(c, kinds[c]).alias(c) if c in kinds else quoted(c) for c in table.headers))
 
 
 # -- projections and filters ----------------------------------------------------------------------

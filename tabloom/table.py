@@ -314,11 +314,17 @@ class Table:
         return self._with(name, blank(self._of_row(fn, "string").cast("string")))
 
     def add_col_float(self, name: str, fn) -> Table:
-        held = self._new(self._df.withColumn("__x", self._of_row(fn, "double").cast("double")))
-        return self._new(held._df.select(*map(quoted, self.headers), blank(shortest(F.col("__x"))).alias(unique_name(name, self.headers)), ORD))
+        return self._with_number(name, self._of_row(fn, "double").cast("double"), shortest)
 
     def add_col_int(self, name: str, fn) -> Table:
-        return self._with(name, blank(self._of_row(fn, "bigint").cast("bigint").cast("string")))
+        return self._with_number(name, self._of_row(fn, "bigint").cast("bigint"), lambda x: x.cast("string"))
+
+    def _with_number(self, name: str, value: Column, text: Callable[[Column], Column]) -> Table:
+        """A new column of numbers, as cells and as it is."""
+        name = unique_name(name, self.headers)
+        raws = [quoted(c) for c in self._df.columns if c.startswith(RAW)]
+        held = self._df.withColumn("__x", value)
+        return self._new(held.select(*map(quoted, self.headers), blank(text(F.col("__x"))).alias(name), *raws, F.col("__x").alias(RAW + name), ORD))
 
     def add_col_of(self, name: str, fn: Callable[[Row], Any], stringify: Callable[[Any], str]) -> Table:
         return self.add_col(name, lambda r: stringify(fn(r)))
