@@ -2,35 +2,38 @@
 
 A text is cut into words (runs of ASCII letters and digits or of other
 characters from U+0080) and signs (runs of other visible ASCII characters, kept
-with any white space between them out).  Words enter n-grams by their shape
-(capitals, capitalised, small, digits, mixed; how long; whether the word before
-is the same), signs by themselves; n-grams of one to three such items are hashed
-into 2 ** 18 weights.  Words in small letters enter as single hashed words.  A
-feature's value is log(1 + count); the vector is not scaled by the text's length.
+with any white space between them out).  N-grams of one to three words and signs, in
+small letters, are hashed into 2 ** 20 weights.  Beside them, so that quality is seen
+in words that training never met, stand n-grams of one to three items in which each
+word is replaced by its shape (capitals, capitalised, small, digits, mixed; how long;
+whether the word before is the same).  A feature's value is log(1 + count); the
+vector is not scaled by the text's length.
 
 Weights are learnt by follow-the-regularised-leader updates over a sample of at
-most ``sample`` labelled texts, taken in the order of a hash of their id.  A score
-is the logistic function of a sparse dot product, worked out in parallel.
+most ``sample`` labelled texts of at most ``longest`` characters, which together have
+at most ``volume``, taken in the order of a hash of their id; of several texts of an
+id the shortest is taken.  A score is the logistic function of a sparse dot product,
+worked out in parallel over whole texts of any length.
 
 Null and empty texts have no features and score by the bias.  Null labels are
 left out, repeated labels of an id count once (the largest).  Without labels all
-score 0.5.  Repeated rows stay repeated; an empty table gives an empty result.
+score 0.5.  Repeated rows stay repeated; an empty table gives an empty result; extra
+columns are ignored, or carried where ``keep`` names them.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, MIX, U, chunks, runs, span_hash, splitmix
 
-BITS = 18
-#: Labelled texts that training reads at most, and passes over them.
-SAMPLE, EPOCHS = 8000, 4
+BITS = 20
+#: Labelled texts that training reads at most, their characters each and together, and passes over them.
+SAMPLE, LONGEST, VOLUME, EPOCHS = 8000, 100_000, 1 << 25, 4
 ALPHA, BETA, L1, L2 = 0.08, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
 
@@ -68,12 +71,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     item = np.where(is_word, splitmix((shape * 2 + same).astype(np.uint64) + U(11)), own)
     grams = [splitmix(own ^ MIX[4]), item]
     docs = [doc, doc]
-    for n in (2, 3):
-        if len(item) >= n:
-            g = sum(item[i : len(item) - n + 1 + i] * MIX[i] for i in range(n))
-            inside = doc[n - 1 :] == doc[: len(doc) - n + 1]
-            grams.append(splitmix(g + U(n))[inside])
-            docs.append(doc[: len(doc) - n + 1][inside])
+    for salt, items in ((0, item), (8, own)):
+        for n in (2, 3):
+            if len(items) >= n:
+                g = sum(items[i : len(items) - n + 1 + i] * MIX[i] for i in range(n))
+                inside = doc[n - 1 :] == doc[: len(doc) - n + 1]
+                grams.append(splitmix(g + U(n + salt))[inside])
+                docs.append(doc[: len(doc) - n + 1][inside])
     gram = np.concatenate(grams) >> U(64 - BITS)
     key = (np.concatenate(docs).astype(np.uint64) << U(BITS)) | gram
     key, n = np.unique(key, return_counts=True)
@@ -91,7 +95,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPO
 
     for _ in range(epochs):
         for index, value, label in rows:
-            i, x = np.append(index, size), np.append(value, 1.0)
+            i, x = np.append(index, size), np.append(value.astype(np.float64), 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -101,33 +105,40 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPO
     return w[:-1], float(w[-1])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list:
-    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
-    own = own.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-
-    def extract(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for part in chunks(batch.column(1)):
-                doc, index, value = features(part.data, part.off)
-                at = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(pa.array(at), pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(pa.array(at), pa.array(value.astype(np.float32)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), batch.column(2).slice(part.first, len(part)), *cols], names=["id", "label", "index", "value"])
-
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, longest: int, volume: int) -> DataFrame:
+    """id, text and label of the texts that training reads."""
+    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     # at most `sample` ids and labels, whatever the size of the tables
-    joined = docs.select(id_col, text_col).join(F.broadcast(own), id_col).select(id_col, text_col, F.col("__label").cast("int"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = joined.mapInArrow(extract, f"id {kind}, label int, index array<int>, value array<float>").toArrow()
-    rows = [(got["index"][i].values.to_numpy(), got["value"][i].values.to_numpy().astype(np.float64), got["label"][i].as_py(), got["id"][i].as_py()) for i in range(len(got))]
-    rows.sort(key=lambda r: (zlib.crc32(str(r[3]).encode()), str(r[3]), len(r[0]), float(r[1].sum())))
-    return [r[:3] for r in rows]
+    own = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(sample))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("n", F.length("text")).filter(F.col("n") <= longest)
+    texts = texts.join(own, "id").groupBy("id", "label").agg(F.min(F.struct("n", "text")).alias("x"))
+    upto = F.sum("x.n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    return texts.withColumn("upto", upto).filter(F.col("upto") <= volume).select("id", "x.text", "label")
+
+
+def _train(batches) -> Iterator:
+    """(id, text, label) of the whole sample to the weights and the bias, as bytes."""
+    import pyarrow as pa
+
+    rows = []
+    for batch in batches:
+        label = batch.column(2).to_pylist()
+        for part in chunks(batch.column(1)):
+            doc, index, value = features(part.data, part.off)
+            at = np.searchsorted(doc, np.arange(len(part) + 1)).tolist()
+            rows += [(index[a:b].astype(np.int32), value[a:b].astype(np.float32), label[part.first + i]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    with np.errstate(over="ignore"):
+        weights, bias = train_ftrl(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([np.append(weights, bias).astype("<f8").tobytes()], pa.binary())], names=["model"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """(weights, bias) learnt from at most `sample` rows of labels that have a text."""
-    with np.errstate(over="ignore"):
-        return train_ftrl(_sampled(docs, labels, id_col, text_col, label_col, sample))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST, volume: int = VOLUME) -> tuple[np.ndarray, float]:
+    """(weights, bias) learnt from at most `sample` labelled texts, in one task; the driver gets the weights alone."""
+    rows = _sampled(docs, labels, id_col, text_col, label_col, sample, longest, volume)
+    order = F.crc32(F.col("id").cast("string").cast("binary"))
+    found = rows.repartition(1).sortWithinPartitions(order, "id").mapInArrow(_train, "model binary").first()
+    model = np.frombuffer(bytes(found[0]), "<f8") if found is not None else np.zeros((1 << BITS) + 1)
+    return model[:-1], float(model[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
