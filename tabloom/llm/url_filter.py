@@ -2,9 +2,11 @@
 
 Rules come first: a rule fits its host and every subdomain if the path starts
 with the rule's path; the longest rule wins.  Other urls are judged by an
-Aho-Corasick automaton that finds strict and soft terms.  A hit counts only
-between boundaries (no ASCII letter or digit on either side).  One strict term
-or ``soft_limit`` distinct soft terms reject.
+Aho-Corasick automaton that finds the terms of a vocabulary: strict and soft ones,
+each with a weight, given or loaded from a file.  A hit counts only between
+boundaries (no ASCII letter or digit on either side).  A url is rejected by one
+strict term or by ``soft_limit`` distinct soft ones; its score is the sum of the
+weights of the distinct terms that it holds.
 
 Null urls and urls without ``://`` have an empty host and path, no rule, and are
 judged by the vocabulary alone (null: no hits).  Repeated rows stay repeated;
@@ -14,8 +16,9 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
@@ -26,6 +29,30 @@ SOFT = ("spam", "pills", "cheap", "free-money", "bonus", "jackpot", "betting", "
 STRICT_WEIGHT, SOFT_WEIGHT = 2, 1
 
 
+class Term(NamedTuple):
+    """A term in small letters, whether one hit of it rejects, and its weight."""
+
+    text: str
+    strict: bool
+    weight: int
+
+
+VOCABULARY = (*(Term(t, True, STRICT_WEIGHT) for t in STRICT), *(Term(t, False, SOFT_WEIGHT) for t in SOFT))
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[Term, ...]:
+    """Terms from a text file: a line each, `strict` or `soft`, the weight and the term, with tabs between; empty lines and those with # are left out."""
+    out = []
+    for row in spark.read.text(path).collect():  # a vocabulary has to fit in every task
+        line = row[0].strip()
+        if line and not line.startswith("#"):
+            kind, weight, term = line.split("\t", 2)
+            if kind not in ("strict", "soft"):
+                raise ValueError(f"vocabulary line {line!r}: neither strict nor soft")
+            out.append(Term(term.strip().lower(), kind == "strict", int(weight)))
+    return tuple(out)
+
+
 def split_url(url):
     """(host, path) columns; both empty where the url is null or has no ``://``."""
     after = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://(.*)$", 1)
@@ -41,18 +68,18 @@ def rule_columns(host, path, rules=RULES):
     return rule, verdict
 
 
-def vocabulary_hits(df: DataFrame, url: str = "url", strict=STRICT, soft=SOFT) -> DataFrame:
-    """df with strict_hits, soft_hits (distinct terms) and terms (sorted, comma-joined)."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["strict_hits int", "soft_hits int", "terms string"]
+def vocabulary_hits(df: DataFrame, url: str = "url", vocabulary=VOCABULARY) -> DataFrame:
+    """df with strict_hits, soft_hits (distinct terms), score and terms (sorted, comma-joined)."""
+    added = {"strict_hits": "int", "soft_hits": "int", "score": "int", "terms": "string"}
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} {k}" for n, k in added.items()]
 
     def scan(batches) -> Iterator:
         import ahocorasick
         import pyarrow as pa
 
         words = ahocorasick.Automaton()
-        for kind, terms in (("strict", strict), ("soft", soft)):
-            for term in terms:
-                words.add_word(term, (kind, term))
+        for term in vocabulary:
+            words.add_word(term.text, tuple(term))
         words.make_automaton()
         fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         plain = set("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -61,26 +88,26 @@ def vocabulary_hits(df: DataFrame, url: str = "url", strict=STRICT, soft=SOFT) -
             for text in batch.column(batch.schema.get_field_index(url)).to_pylist():
                 text = (text or "").translate(fold)
                 hits = set()
-                for end, (kind, term) in words.iter(text):
+                for end, (term, strict, weight) in words.iter(text) if len(words) else ():
                     start = end - len(term) + 1
                     if (start == 0 or text[start - 1] not in plain) and (end + 1 == len(text) or text[end + 1] not in plain):
-                        hits.add((kind, term))
-                found.append((sum(k == "strict" for k, _ in hits), sum(k == "soft" for k, _ in hits), ",".join(sorted(t for _, t in hits))))
-            columns = list(batch.columns) + [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "strict_hits", "soft_hits", "terms"])
+                        hits.add((term, strict, weight))
+                strict_hits = sum(strict for _, strict, _ in hits)
+                found.append((strict_hits, len(hits) - strict_hits, sum(weight for *_, weight in hits), ",".join(sorted(t for t, *_ in hits))))
+            columns = [pa.array([x[i] for x in found], pa.int32() if kind == "int" else pa.string()) for i, kind in enumerate(added.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
     return df.mapInArrow(scan, ", ".join(fields))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = 2) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, vocabulary=VOCABULARY, soft_limit: int = 2) -> DataFrame:
     """id, host, path, rule, verdict, strict_hits, soft_hits, score, terms."""
     host, path = split_url(F.col("__url"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     base = pages.select(F.col(id_col), F.col(url_col).alias("__url"))
-    out = vocabulary_hits(base, "__url", strict, soft).withColumns({"host": host, "path": path})
+    out = vocabulary_hits(base, "__url", vocabulary).withColumns({"host": host, "path": path})
     by_terms = F.when((F.col("strict_hits") >= 1) | (F.col("soft_hits") >= soft_limit), "block").otherwise("allow")
-    score = F.col("strict_hits") * STRICT_WEIGHT + F.col("soft_hits") * SOFT_WEIGHT
-    return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_hits", score.cast("int").alias("score"), "terms")
+    return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_hits", "score", "terms")
 
 
 def op5_url_filter(spark, sf_dir):
