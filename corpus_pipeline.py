@@ -6,7 +6,8 @@ writes each stage's result as Parquet in the shared folder and rereads it.
 
 Nulls, empty and very long texts, repeated rows, empty tables and extra columns:
 each stage follows its operator's module; rows with a null text reach every
-stage as empty texts, and no stage fails on them.
+stage as empty texts, and no stage fails on them. Extra columns, whatever their names,
+stay with their rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ ORACLE_SQL = None
 
 #: Rows in a batch between the JVM and Python; the default of 10,000 texts holds tens of MB on either side.
 BATCH = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """For the stage's frame, which is run after the stage has returned: only who runs the stage can set it back."""
+    spark.conf.set(_BATCHES, str(BATCH))
 
 
 def _like(docs: DataFrame, text) -> DataFrame:
@@ -43,8 +46,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop the documents that the quality classifier rejects; it learns from the labelled documents among these."""
     _small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=COLUMNS)
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*[c for c in COLUMNS if c in docs.columns])
+    scored = quality.score(docs, model, keep=docs.columns, name="__quality")
+    return scored.filter(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,14 +89,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     there are kept.
     """
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count():
-        found = mixing.mix_sources(docs, keep=docs.columns).filter("taken > 0").select("kept.*", "size", "taken")
+        found = mixing.mix_sources(docs, keep=docs.columns).filter("taken > 0").select("kept.*", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     else:  # ids tell documents apart, so texts need not go through the mix
-        plan = save(mixing.mix_sources(docs).filter("taken > 0").select("doc_id", "size", "taken"), "mix")
+        plan = save(mixing.mix_sources(docs).filter("taken > 0").select("doc_id", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "mix")
         found = docs.join(F.broadcast(plan) if plan.count() <= PLANNED else plan, "doc_id")
-    rest = F.pmod("taken", "size").cast("int")
+    rest = F.pmod("__taken", "__size").cast("int")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     part = F.array_join(F.slice(words, 1, rest), " ")
-    whole = F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    whole = F.array_repeat(F.col("text"), F.floor(F.col("__taken") / F.col("__size")).cast("int"))
     texts = F.when(rest > 0, F.concat(whole, F.array(part))).otherwise(whole)
     return _like(found, F.concat_ws("\n", texts)).select(*docs.columns)
 
@@ -114,8 +117,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and reread."""
+    """All stages over documents; each but the last is written and reread. The session's settings are as before then."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(_BATCHES)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = save(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(_BATCHES, before)

@@ -141,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model[:-1], float(model[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """id, the columns in keep, and score of every text."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), name: str = "score") -> DataFrame:
+    """id, the columns in keep, and the score (under name) of every text."""
     weights, bias = model[0].astype(np.float64), model[1]
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers
     names = list(dict.fromkeys([id_col, text_col, *keep]))
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                 cols = [batch.column(names.index(c)).slice(part.first, len(part)) for c in out]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(p)], names=[*out, "__score"])
 
-    return docs.select(*names).mapInArrow(apply, schema).withColumnRenamed("__score", "score")
+    return docs.select(*names).mapInArrow(apply, schema).withColumnRenamed("__score", name)
 
 
 def fold(id_col: str = "doc_id"):

@@ -84,6 +84,20 @@ def test_the_mix_is_packed(stages, spark):
     assert Counter(map(str, pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter(map(str, stages[5].select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_extra_columns_and_repeated_ids_go_through(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.limit(20).withColumn("text", F.concat("text", F.lit(" another text of one id")))
+    docs = docs.unionByName(more).unionByName(docs.limit(5))
+    extra = ["score", "size", "taken", "component_id", "kept", "id", "n", "print", "spans", "labels"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in extra})
+    for name, stage in pipeline.STAGES[:-1]:
+        before, docs = docs, save(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+        assert docs.filter(" OR ".join(f"{c} <> concat('{c}', doc_id)" for c in extra)).count() == 0
+    rows = pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    assert valid(rows, 2048) > 0 and {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_empty_and_odd_tables(spark):
     from .test_operators import DOCS, odd_rows
 
