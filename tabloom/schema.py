@@ -97,14 +97,15 @@ def infer(table: Table) -> Schema:
         return Schema({})
     types = range(len(ColType))
 
-    def step(c: Column) -> Column:
-        fits = _fits(c)
+    def step(i: int, c: Column) -> Column:
         to = [F.lit(int(ColType.STRING))]
         for k in (3, 2, 1, 0):
-            to.insert(0, F.when(fits[k], k).otherwise(to[0]))
+            to.insert(0, F.when(F.col(f"f{i}_{k}"), k).otherwise(to[0]))
         return F.when(c != "", F.array(*to))
 
-    df = table._long().select(ORD, *(step(quoted(n)).alias(f"m{i}") for i, n in enumerate(names)))
+    # columns of their own, so that a cell is tested once for each type
+    df = table._long().withColumns({f"f{i}_{k}": fit for i, n in enumerate(names) for k, fit in enumerate(_fits(quoted(n)))})
+    df = df.select(ORD, *(step(i, quoted(n)).alias(f"m{i}") for i, n in enumerate(names)))
     whole = F.array(*map(F.lit, types))
     compose = lambda a, m: F.transform(a, lambda k: F.get(m, k))
 
