@@ -23,6 +23,7 @@ result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,19 +42,46 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBER = 500_000
 
 
+#: The rules of normalising and splitting under which words can be encoded alone; other vocabularies encode whole texts.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file has the rules under which words can be encoded alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return all(spec.get(k) == v for k, v in WORD_RULES.items()) and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+
 class WordEncoder:
     """Encodes texts as the tokenizer does, but each distinct word of a pass once.
 
     A text is cut at ASCII white space, and between an ASCII letter and an ASCII
     sign other than the apostrophe; the tokenizer's own splitting cuts there
     too, and no rule of its normaliser crosses such a place.  A text that could
-    hold a special token's string is encoded whole.
+    hold a special token's string is encoded whole, and so are all texts by a
+    tokenizer of other rules.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = by_words(path)
+        if not self.words:
+            return
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.n_ids = 0
@@ -93,6 +121,10 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after the other, and their offsets."""
+        if not self.words:
+            raw = data.tobytes()
+            parts = self._encode([raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            return np.array([i for p in parts for i in p], np.uint32), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         low = LOWER[data]
         starts, ends = runs(NOT_SPACE[low], off)
         kind = self.kind[low]
@@ -195,13 +227,12 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     for length in reversed(large):
         while left[length]:
             i = bisect_left(large, capacity - length + 1) - 1
-            while i >= 0 and not left[large[i]]:
+            while i >= 0 and left[large[i]] < (2 if large[i] == length else 1):  # none left beside the piece itself
                 i -= 1
             mate = large[i] if i >= 0 else None
             n = left[length]
             if mate == length:
-                n = n // 2 or 1
-                mate = mate if left[length] > 1 else None
+                n //= 2
             elif mate is not None:
                 n = min(n, left[mate])
             put(length, n, bins, 0)
