@@ -39,7 +39,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 
 #: The rules of normalising and splitting under which words can be encoded alone; other vocabularies encode whole texts.
@@ -178,7 +178,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch.column(1), 4 << 20):
+            for part in chunks(batch.column(1)):
                 ids, bounds = encoder.encode(part.data, part.off)
                 n = len(part)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
