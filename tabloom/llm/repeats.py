@@ -6,8 +6,10 @@ corpus is removed.  The corpus is dealt into groups that can be judged alone:
 1. The least hash of a window's 32-byte grams is its anchor, so equal windows
    have equal anchors.  Neighbouring windows with one anchor place form a piece.
    Pieces are sorted by anchor and content; all pieces with the same content but
-   the first are repeats as a whole (within a chunk of texts already before they
-   are dealt, so that a common passage is few rows of its anchor).
+   the first are repeats as a whole.  Contents are compared by 64-bit hashes there.
+   A passage that stands twice in a chunk of texts is remembered by its task, and
+   only the first piece of it that the task has seen goes to its anchor, so that a
+   passage of all documents is a row or so of its anchor for each task.
 2. Only pieces whose anchor has several contents (or a tie within itself) are
    fetched as bytes.  Sorted by anchor, they are read in buckets of about a
    megabyte.  A bucket's Burrows-Wheeler transform is cut into runs of one
@@ -16,13 +18,16 @@ corpus is removed.  The corpus is dealt into groups that can be judged alone:
    distance to it, which gives the matching statistics of every position.  Long
    matches chain suffixes into classes of equal windows, and all but the first of
    a class are marked.
-3. An anchor with more bytes than a bucket may hold gets its windows dealt
-   singly by their hash, so no group has to fit into a task.
+3. An anchor with more pieces than ``many``, or more bytes than a bucket may hold,
+   gets its windows dealt singly by their hash, so no anchor has to pass through a
+   task; of a window that stands more often than that, the first is found by a
+   partial aggregate and sent to all others.
 
 Documents are ordered by id (null first).  Rows with one id and one text are one
 document, each returned; rows with one id and different texts are ordered by a
-hash of the text.  Null, empty and shorter texts keep every byte.  An empty table
-gives an empty result; other columns are ignored.
+hash of the text.  Null, empty and shorter texts keep every byte; a very long text
+needs memory for itself and its marks.  An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes of pieces that one transform takes, and that one anchor may have before its windows are dealt singly.
 BUCKET, MOST = 1 << 20, 1 << 24
+#: Pieces of one anchor, and places of one window, that one task sees at most; beyond HUBS such anchors or windows, more.
+MANY, HUBS = 4096, 1_000_000
+#: Repeated contents that a task remembers at most (24 bytes each).
+REMEMBERED = 200_000
 #: A document's number among those of its id stands above this bit of a position.
 COPY = 40
 _NULL = -(1 << 63)
@@ -158,8 +167,38 @@ def _mask(flags: np.ndarray):
     return pa.array(flags)
 
 
+class _Seen:
+    """The earliest place of contents that a task has seen repeated, up to REMEMBERED of them (the rest is judged at its anchor)."""
+
+    def __init__(self):
+        self.key, self.doc, self.pos = (np.zeros(0, np.int64) for _ in range(3))
+
+    def earlier(self, key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pieces with distinct keys: whether the task has seen the content earlier in the corpus, and whether at this very place."""
+        later, same = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        if not len(self.key):
+            return later, same
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        i = np.flatnonzero(self.key[at] == key)
+        j = at[i]
+        same[i] = (doc[i] == self.doc[j]) & (pos[i] == self.pos[j])
+        later[i] = ((doc[i] > self.doc[j]) | ((doc[i] == self.doc[j]) & (pos[i] > self.pos[j])))
+        first = i[~later[i]]
+        self.doc[at[first]], self.pos[at[first]] = doc[first], pos[first]
+        return later, same
+
+    def add(self, key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        new = ~np.isin(key, self.key)
+        if not new.any() or len(self.key) >= REMEMBERED:
+            return
+        key, doc, pos = (np.concatenate(x) for x in ((self.key, key[new]), (self.doc, doc[new]), (self.pos, pos[new])))
+        order = np.argsort(key, kind="stable")
+        self.key, self.doc, self.pos = key[order], doc[order], pos[order]
+
+
 def _cut(batches) -> Iterator:
     """(doc, copy, text) to pieces."""
+    seen = _Seen()
     for batch in batches:
         doc, copy = _arrays(batch, "doc", "copy")
         for part in chunks(batch.column(batch.schema.get_field_index("text"))):
@@ -174,6 +213,11 @@ def _cut(batches) -> Iterator:
                 whole, twin = np.zeros(len(order), bool), np.zeros(len(order), bool)
                 whole[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
                 twin[1:] = whole[1:] & (own[1:] == own[:-1]) & (pos[1:] == pos[:-1])
+                key = (splitmix(anchor.view(np.uint64)) ^ content.view(np.uint64)).view(np.int64)
+                first = np.flatnonzero(~whole)
+                whole[first], twin[first] = seen.earlier(key[first], own[first], pos[first])
+                common = first[np.append(whole[1:], False)[first] & ~whole[first]]
+                seen.add(key[common], own[common], pos[common])
                 dealt = np.where(whole, splitmix((own * 31 + pos).view(np.uint64)).view(np.int64), anchor)
                 kept = ~twin
                 yield _emit(dealt=dealt[kept], anchor=anchor[kept], content=content[kept], doc=own[kept], pos=pos[kept], windows=windows[kept].astype(np.int32), tie=tie[kept], whole=whole[kept])
@@ -220,10 +264,8 @@ def _judge(batches) -> Iterator:
         last = (anchor[-1], content[-1], doc[-1], pos[-1])
 
 
-def _fetch(batches) -> Iterator:
-    """(doc, copy, text, marks) to the bytes of each marked piece."""
-    import pyarrow as pa
-
+def _marked(batches) -> Iterator:
+    """(doc, copy, text, marks) to the marked pieces of each chunk of texts: the chunk, and doc, pos, begin, windows, anchor of each."""
     for batch in batches:
         marks = batch.column(batch.schema.get_field_index("marks"))
         at = np.asarray(marks.offsets)
@@ -232,13 +274,31 @@ def _fetch(batches) -> Iterator:
         pos, windows, anchor = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "windows", "anchor"))
         doc, copy = _arrays(batch, "doc", "copy")
         for part in chunks(batch.column(batch.schema.get_field_index("text"))):
-            raw = part.data.tobytes()
             lo, hi = at[part.first] - base, at[part.first + len(part)] - base
             row = np.searchsorted(at - base, np.arange(lo, hi), "right") - 1
             begin = part.off[row - part.first] + (pos[lo:hi] & ((1 << COPY) - 1))
-            end = begin + windows[lo:hi] + LENGTH - 1
-            text = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi]), pa.array(doc[row]), pa.array(pos[lo:hi]), text], names=["anchor", "doc", "pos", "bytes"])
+            yield part, doc[row], pos[lo:hi], begin, windows[lo:hi].astype(np.int64), anchor[lo:hi]
+
+
+def _fetch(batches) -> Iterator:
+    """The bytes of each marked piece."""
+    import pyarrow as pa
+
+    for part, doc, pos, begin, windows, anchor in _marked(batches):
+        raw = part.data.tobytes()
+        text = pa.array([raw[a:b] for a, b in zip(begin.tolist(), (begin + windows + LENGTH - 1).tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(pos), text], names=["anchor", "doc", "pos", "bytes"])
+
+
+def _windows(batches) -> Iterator:
+    """The hash of each window of each marked piece."""
+    for part, doc, pos, begin, windows, anchor in _marked(batches):
+        for i in range(0, len(windows), 4096):
+            n = windows[i : i + 4096]
+            row = i + np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = begin[row] + k
+            yield _emit(anchor=anchor[row], hash=span_hash(part.data, at, at + LENGTH).view(np.int64), doc=doc[row], pos=pos[row] + k)
 
 
 _FOUND = "single boolean, anchor long, hash long, doc long, pos long, windows int"
@@ -356,7 +416,18 @@ def _finish(batches) -> Iterator:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeated(windows: DataFrame, many: int) -> DataFrame:
+    """doc and pos of all places (anchor, hash, doc, pos) of each window but the first."""
+    key = ["anchor", "hash"]
+    most = max(many, -(-windows.count() // HUBS))
+    common = windows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).filter(F.col("n") > most)
+    common = F.broadcast(save(common.select(*key, "first"), "common"))  # HUBS at most
+    spread_ = windows.join(common, key).filter(F.struct("doc", "pos") != F.col("first")).select("doc", "pos", F.lit(1).alias("windows"))
+    calm = windows.join(common, key, "left_anti").select(*key, "doc", "pos").repartition(*key).sortWithinPartitions(*key, "doc", "pos")
+    return spread_.unionByName(calm.mapInArrow(_later, "doc long, pos long, windows int"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end in bytes)."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -370,15 +441,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = cut.repartition("dealt").sortWithinPartitions("dealt", "content", "doc", "pos").drop("dealt")
     judged = save(cut.mapInArrow(_judge, "anchor long, doc long, pos long, windows int, fetch boolean"), "pieces")
     number = F.shiftright("pos", COPY).alias("copy")
-    marks = judged.filter("fetch").groupBy("doc", number).agg(F.collect_list(F.struct("pos", "windows", "anchor")).alias("marks"))
-    fetched = own.join(marks, ["doc", "copy"]).mapInArrow(_fetch, "anchor long, doc long, pos long, bytes binary")
+    marked = lambda rows: own.join(rows.groupBy("doc", number).agg(F.collect_list(F.struct("pos", "windows", "anchor")).alias("marks")), ["doc", "copy"])
+    fetch = judged.filter("fetch")
+    most = max(many, -(-fetch.count() // HUBS))
+    busy = save(fetch.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor"), "busy")
+    single = []
+    if busy.limit(1).count():
+        single.append(marked(fetch.join(F.broadcast(busy), "anchor", "left_semi")).mapInArrow(_windows, "anchor long, hash long, doc long, pos long"))  # HUBS at most
+        fetch = fetch.join(F.broadcast(busy), "anchor", "left_anti")
     # few bytes, but a lot of work for each: tasks by rows, not by bytes
-    fetched = fetched.repartition(spread(judged.filter("fetch"), 10_000), "anchor").sortWithinPartitions("anchor", "doc", "pos")
+    fetched = marked(fetch).mapInArrow(_fetch, "anchor long, doc long, pos long, bytes binary")
+    fetched = fetched.repartition(spread(fetch, 10_000), "anchor").sortWithinPartitions("anchor", "doc", "pos")
     found = save(fetched.mapInArrow(_compare, _FOUND), "matches")
     spans = judged.filter("NOT fetch").select("doc", "pos", "windows").unionByName(found.filter("NOT single").select("doc", "pos", "windows"))
     if found.filter("single").limit(1).count():
-        single = found.filter("single").repartition("anchor", "hash").sortWithinPartitions("anchor", "hash", "doc", "pos")
-        spans = spans.unionByName(single.select("anchor", "hash", "doc", "pos").mapInArrow(_later, "doc long, pos long, windows int"))
+        single.append(found.filter("single").select("anchor", "hash", "doc", "pos"))
+    if single:
+        windows = single[0] if len(single) == 1 else single[0].unionByName(single[1])
+        spans = spans.unionByName(_repeated(save(windows, "windows"), many))
     spans = spans.groupBy("doc", number).agg(F.collect_list(F.struct("pos", "windows")).alias("spans"))
     none = F.array().cast("array<struct<pos:bigint,windows:int>>")
     whole = docs.join(spans, ["doc", "copy"], "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
