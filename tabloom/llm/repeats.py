@@ -46,7 +46,7 @@ WINDOWS = LENGTH - GRAM + 1
 #: Bytes of pieces that one transform takes, and that one anchor may have before its windows are dealt singly.
 BUCKET, MOST = 1 << 20, 1 << 24
 #: Pieces of one anchor, and places of one window, that one task sees at most; beyond HUBS such anchors or windows, more.
-MANY, HUBS = 4096, 1_000_000
+MANY, HUBS = 32_768, 1_000_000
 #: Repeated contents that a task remembers at most (24 bytes each).
 REMEMBERED = 200_000
 #: A document's number among those of its id stands above this bit of a position.
