@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import re
+import time
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -94,6 +96,28 @@ def test_op1_transform_marks_all_but_the_first():
         assert (repeats.repeated_windows(np.frombuffer(b"".join(parts), np.uint8), off) == want).all()
 
 
+@pytest.mark.parametrize("many", [1, 12])
+def test_op1_busy_anchors_and_common_windows(spark, many):
+    rng = random.Random(7)
+    line = "".join(rng.choices("abcdefgh ", k=180))
+    rows = [(i, "".join(rng.choices("ijklmnop ", k=rng.randrange(60))) + line[rng.randrange(20) :] + "".join(rng.choices("ijklmnop ", k=rng.randrange(60)))) for i in range(60)]
+    rows += [(100 + i, " " * rng.randrange(90, 260) + f"x{i}") for i in range(20)] + [(200, rows[3][1]), (201, rows[3][1])]
+    want = without_repeats(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.remove_repeats(frame, many=many).collect()}
+    assert got == want
+
+
+def test_op1_tasks_remember_the_earliest_of_common_contents():
+    seen = repeats._Seen()
+    one = lambda *x: tuple(np.array(v, np.int64) for v in x)
+    seen.add(*one([5, 3], [10, 20], [1, 2]))
+    later, same = seen.earlier(*one([3, 4, 5], [20, 9, 11], [2, 9, 0]))
+    assert later.tolist() == [False, False, True] and same.tolist() == [True, False, False]
+    later, _ = seen.earlier(*one([3], [19], [7]))
+    assert not later[0] and seen.earlier(*one([3], [20], [2]))[0][0]
+
+
 def test_op1_overfull_anchor_goes_window_by_window(monkeypatch):
     import pyarrow as pa
 
@@ -188,6 +212,76 @@ def test_op3_tricky_texts(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def plain_p_value(token):
+    core = token.rstrip("=")
+    digits, capitals, small = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    forms = [("[0-9a-f]+", digits + small[:6]), ("[0-9A-F]+", digits + capitals[:6]), ("[A-Z2-7]+", capitals + "234567"), ("[a-z0-9]+", digits + small), ("[A-Z0-9]+", digits + capitals), ("[A-Za-z0-9]+", capitals + small + digits)]
+    letters = next((a for f, a in forms if re.fullmatch(f, core)), capitals + small + digits + ("-_+/" if re.search("[_-]", core) else "+/"))
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-12.0, min(12.0, z))) + 0.07056 * z**3))
+    size, n, x = len(letters), len(core), [letters.index(c) for c in core]
+    chi = sum((core.count(c) - n / size) ** 2 / (n / size) for c in letters)
+    p_chi = tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))
+    side = [v >= size / 2 for v in x]
+    runs, high = 1 + sum(a != b for a, b in zip(side, side[1:], strict=False)), sum(side)
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0.0
+    middle = (size - 1) / 2
+    serial = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:], strict=False))
+    p_serial = 2 * tail(abs(serial) / ((size**2 - 1) / 12 * math.sqrt(n - 1)))
+    return 1 - (1 - min(1.0, p_chi, p_runs, p_serial)) ** 3
+
+
+def test_op3_battery_matches_a_plain_version(spark):
+    rng = random.Random(8)
+    pools = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ0189+/", "abc_-XYZ012"]
+    tokens = ["".join(rng.choice(p) for _ in range(rng.randint(20, 90))) + "=" * rng.randrange(3) for p in pools for _ in range(12)] + ["a1" * 20, "a" * 30 + "1", "some-name-of-a-file-version-12"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.p_value(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(plain_p_value(r["t"]), rel=1e-6, abs=1e-12), r["t"]
+
+
+def test_op3_thresholds_hold_the_share_of_false_secrets():
+    rng = np.random.default_rng(9)
+    true, false = rng.random(4000), 10 ** -rng.exponential(3, 6000) * 0.04
+    cell = lambda p: min(secrets.CELLS, int(-math.log10(max(p, 1e-18)) / secrets.CELL))
+    cells = Counter((0, cell(p)) for p in [*true, *false])
+    last = secrets.thresholds(cells, 0.05)[0]
+    shown, wrong = sum(cell(p) <= last for p in [*true, *false]), sum(cell(p) <= last for p in false)
+    assert wrong <= 0.08 * shown and sum(cell(p) <= last for p in true) > 0.9 * len(true)
+    assert secrets.thresholds(Counter((2, cell(p)) for p in true), 0.05)[2] > 60 and secrets.thresholds({}, 0.05) == {}
+
+
+def test_op3_running_sums_and_maxima(spark):
+    rng = random.Random(3)
+    rows = [([],), ([5],), ([rng.randrange(100) for _ in range(2000)],), ([1] * 256,), ([2] * 257,)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    got = df.select("x", secrets._running(F.col("x"), lambda a, b: a + b, F.lit(0)).alias("s"), secrets._running(F.col("x"), F.greatest, F.lit(0)).alias("m")).collect()
+    for r in got:
+        assert r["s"] == [sum(r["x"][:i]) for i in range(len(r["x"]))] and r["m"] == [max(r["x"][:i], default=0) for i in range(len(r["x"]))]
+
+
+def test_op3_long_tokens_and_many_matches(spark):
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(rng.choices(letters, k=1 << 20))
+    many = " ".join(f"token={i:08d}é" for i in range(100_000))
+    noise = ["".join(rng.choices(letters, k=40)) for _ in range(3000)]
+    rows = [(1, token), (2, many), (3, " ".join(noise)), (4, "secret: " + noise[0] + " x" + "\ue000" + noise[1])]
+    began = time.monotonic()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = secrets.find_secrets(frame, keep=["text"])
+    clean = got.select("doc_id", *secrets.KINDS, secrets.redact(F.col("kept.text"), F.transform(secrets.span_list(secrets.KINDS), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).alias("clean"))
+    by = {r["doc_id"]: r for r in clean.collect()}
+    assert time.monotonic() - began < 90
+    assert [(x["s"], x["e"]) for x in by[1]["random"]] == [(0, 1 << 20)] and by[1]["clean"] == "[SECRET]"
+    want = [(m.start(), m.end()) for m in re.finditer("token=[0-9]{8}", many)]
+    assert [(x["s"], x["e"]) for x in by[2]["assign"]] == want and by[2]["clean"] == re.sub("token=[0-9]{8}", "[SECRET]", many)
+    found = [(x["s"], x["e"]) for x in by[3]["random"]]
+    assert len(found) > 2800 and all(e - s == 40 and s % 41 == 0 for s, e in found)
+    assert by[4]["clean"] == "[SECRET] x\ue000[SECRET]"
+
+
 def test_op3_redaction(spark):
     df = spark.createDataFrame([("éab secret xyz", [(3, 9), (5, 7), (9, 10)]), ("none", [])], "text string, spans array<struct<s:int,e:int>>")
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("spans"))).collect()] == ["éab[SECRET][SECRET] xyz", "none"]
@@ -205,6 +299,45 @@ def test_op4_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def plain_ftrl(rows, epochs):
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for _ in range(epochs):
+        for index, value, label in rows:
+            x = dict(zip([*index.tolist(), "bias"], [*value.tolist(), 1.0], strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_op4_training_matches_a_plain_loop():
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        index = np.unique(rng.integers(0, 40, 12))
+        rows.append((index, rng.random(len(index)) * 2, int(rng.random() < (0.9 if 3 in index else 0.2))))
+    w, bias = quality.train_ftrl(rows, 3)
+    want = plain_ftrl(rows, 3)
+    assert bias == pytest.approx(want.pop("bias"))
+    assert np.flatnonzero(w).tolist() == sorted(i for i, v in want.items() if v) and all(w[i] == pytest.approx(v) for i, v in want.items())
+
+
+def test_op4_word_order_is_a_feature():
+    def keys(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, index, value = quality.features(data, np.array([0, len(data)]))
+        return dict(zip(index.tolist(), value.tolist(), strict=True))
+
+    a, b, c = keys("good old book here"), keys("old good here book"), keys("Good old book here")
+    assert len(set(a) - set(b)) >= 4  # word pairs and triples; the shapes are the same
+    assert len(set(a) & set(c)) >= 4 + 3 + 2  # words in small letters, alone and together
+    assert keys("x x x")[next(iter(set(keys("x"))))] >= math.log(2) and keys("") == {}
+
+
 def test_op4_odd_rows(spark):
     df = spark.createDataFrame(odd_rows(), DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -213,6 +346,11 @@ def test_op4_odd_rows(spark):
     assert len(got) == len(odd_rows()) and {r["score"] for r in got} == {0.5}
     labels = spark.createDataFrame([(5, 1), (5, 1), (7, None), (2, 0), (None, 1), (99, 1)], "doc_id long, quality int")
     assert quality.score(df, quality.fit(df, labels)).count() == len(odd_rows())
+    bounded = quality.fit(df, labels, longest=10)
+    assert bounded[0].any() or bounded[1] != 0
+    extra = df.withColumns({"score": F.lit("clash"), "quality": F.lit(1), "n": F.lit(2), "label": F.lit(0)})
+    got = quality.score(extra, quality.fit(extra, labels), keep=["doc_id", "text", "lang"])
+    assert got.columns == ["doc_id", "text", "lang", "score"] and got.count() == len(odd_rows())
     assert quality.score(spark.createDataFrame([], DOCS), model).collect() == []
 
 
@@ -243,6 +381,17 @@ def test_op5_rules_and_terms(spark):
     assert url_filter.judge_urls(df.limit(0)).collect() == []
 
 
+def test_op5_loaded_vocabulary_weighs_its_terms(spark, tmp_path):
+    (tmp_path / "terms.tsv").write_text("# kind, weight, term\nstrict\t5\tBad-Place\n\nsoft\t2\tsale\nsoft\t3\tnow\n")
+    terms = url_filter.load_vocabulary(spark, f"file://{tmp_path}/terms.tsv")
+    assert terms == (("bad-place", True, 5), ("sale", False, 2), ("now", False, 3))
+    urls = [(1, "x://a.b/bad-place/sale"), (2, "x://a.b/SALE/now/now"), (3, "x://a.b/sale"), (4, "x://a.b/salenow"), (5, None)]
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), vocabulary=terms).collect()
+    assert {r["page_id"]: (r["verdict"], r["score"], r["terms"]) for r in got} == {1: ("block", 7, "bad-place,sale"), 2: ("block", 5, "now,sale"), 3: ("allow", 2, "sale"), 4: ("allow", 0, ""), 5: ("allow", 0, "")}
+    none = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), vocabulary=()).collect()
+    assert {r["verdict"] for r in none} == {"allow"}
+
+
 # -- 6: near duplicates ---------------------------------------------------------------------------
 
 
@@ -294,16 +443,78 @@ def test_op6_families_over_size_levels(spark):
     assert got == want and len({c for _, c in want.values()}) < 60
 
 
+def points(n, v, **more):
+    """Points at the first place of their prefixes."""
+    return jaccard.Points(np.zeros(len(n), np.int64), n << 32 | 1, np.arange(len(n)), v, np.full((len(n), jaccard.BEFORE), -1), **more)
+
+
 def test_op6_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
     base = rng.poisson(4, (12, 128))
     v = np.clip(base[rng.integers(0, 12, 500)] + rng.integers(-1, 2, (500, 128)) * (rng.random((500, 128)) < 0.1), 0, 15).astype(np.uint8)
-    n, yes = v.sum(1, dtype=np.int64), np.ones(500, bool)
-    a, b = jaccard.tree_pairs(n, n, v, yes)
+    n = v.sum(1, dtype=np.int64)
+    p = points(n, v)
+    a, b = jaccard.tree_pairs(p)
     i, j = np.triu_indices(500, 1)
-    want = jaccard._bounded(i, j, n, v) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
-    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(x) for x in zip(i[want].tolist(), j[want].tolist(), strict=True)}
-    assert (jaccard._counts([jaccard._halves(x) for x in v]) == v).all()
+    want = jaccard._bounded(i, j, n, v, p.over) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
+    assert want.any() and {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(x) for x in zip(i[want].tolist(), j[want].tolist(), strict=True)}
+    assert (jaccard._counts([x.tobytes() for x in jaccard._halves(v)]) == v).all()
+
+
+def test_op6_bound_holds_where_counts_are_full():
+    rng = np.random.default_rng(4)
+    whole = rng.poisson(14, (40, 32))
+    whole[1::2] = whole[::2] + rng.integers(0, 3, (20, 32))
+    v = np.minimum(whole, jaccard.FULL).astype(np.uint8)
+    p = points(whole.sum(1), v)
+    i, j = np.triu_indices(40, 1)
+    true = jaccard._allows(np.minimum(whole[i], whole[j]).sum(1), p.n[i], p.n[j])
+    assert true.any() and not (true & ~jaccard._bounded(i, j, p.n, v, p.over)).any()
+
+
+def test_op6_chains_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for trial in range(60):
+        rows = sorted({(rng.randrange(6), rng.choice([1, 1, 2, 5, 6, 7, 20, 23, 90]) << 32 | rng.randrange(3) << 1 | 1, rng.randrange(40)) for _ in range(rng.randrange(1, 120))})
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(8)))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[x:y], strict=True)], names=["hash", "pack", "print"]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        got = [tuple(r[k] for k in ("hash", "pack", "print", "chain", "place", "long")) for b in jaccard._shared(batches) for r in b.to_pylist()]
+        chains = []
+        for r in rows:
+            if chains and chains[-1][-1][0] == r[0] and 5 * (chains[-1][-1][1] >> 32) >= 4 * (r[1] >> 32):
+                chains[-1].append(r)
+            else:
+                chains.append([r])
+        want = [(*r, c[0][1] >> 32, i, len(c) > jaccard.FEW) for c in chains if len(c) > 1 for i, r in enumerate(c)]
+        assert sorted(got) == sorted(want), trial
+
+
+def test_op6_long_copies_and_common_passages(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(60_000)}" for _ in range(200_000)]
+    near, far = list(long), list(long)
+    for w, edits in ((near, 4000), (far, 9000)):
+        for k in rng.sample(range(len(w)), edits):
+            w[k] = f"n{k}"
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))]
+    rows += [(10 + i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(5)] + passage + [f"b{rng.randrange(10**6)}" for _ in range(5 + i % 40)])) for i in range(400)]
+    rows += [(500 + i, rows[3 + i][1] + " end") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jaccard.frequent_hashes(frame)[0]) >= 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame).collect()}
+    want = plain_components(rows)
+    assert got == want and want[2][1] == 1 and want[3][1] == 3
+
+
+def test_op6_sets_whose_prints_collide_stay_apart(spark):
+    rows = [(1, 11, 3, 77, 5, True), (2, 12, 3, 77, 5, True), (3, 13, 3, 77, 6, True), (4, 14, 3, 80, 6, True), (5, 15, 0, None, 0, True)]
+    profile, nodes = jaccard._named(spark.createDataFrame(rows, "id long, key long, n long, print long, other long, first boolean"))
+    own = {r["id"]: r["print"] for r in profile.collect()}
+    assert own[1] == own[2] and len({own[1], own[3], own[4]}) == 3 and own[4] == 80 and own[5] is None
+    assert {(r["print"], r["id"], r["other"]) for r in nodes.collect()} == {(own[1], 1, 5), (own[3], 3, 6), (80, 4, 6)}
 
 
 def test_op6_odd_rows(spark):
@@ -327,10 +538,24 @@ def test_op6_ids_with_several_texts_and_without(spark):
     assert Counter(r["component_id"] for r in got if r["doc_id"] is None) == {5: 1, None: 12}
 
 
-def test_components_of_chains_and_stars(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 120)] + [(5, 5)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+@pytest.mark.parametrize("limits", [(components.LOCAL, components.DEGREE), (16, components.DEGREE), (16, 3)])
+def test_components_of_chains_and_stars(spark, limits):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 120)] + [(5, 5), (7, 6), (6, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), *limits).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 120)}
+    assert components.components(spark.createDataFrame([], "a long, b long"), *limits).collect() == []
+
+
+def test_components_of_random_links_match_a_plain_version():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 30, 400):
+        a, b = rng.integers(0, 300, (2, n)) * 7
+        u, v = components.contract(a, b)
+        root = {x: x for x in [*a.tolist(), *b.tolist()]}
+        for _ in range(300):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: r for x, r in root.items() if x != r}
 
 
 # -- 7: top-k -------------------------------------------------------------------------------------
@@ -352,6 +577,23 @@ def test_op7_matches_brute_force(spark):
     assert topk.exact_topk(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_op7_repeated_ids_several_dimensions_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIECE", 40)
+    monkeypatch.setattr(topk, "HEAD", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-9, 9, 4 if i % 3 else 6).astype(float).tolist()) for i in range(120)] + [(300, [1.0, 2.0, 3.0, 4.0])] * 2 + [(7, [9.0] * 4)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rank string")
+    want = Counter()
+    for q, x in rows:
+        if q % 100 == 0:
+            best = sorted((-int(1024 * np.array(x) @ (1024 * np.array(y))), c) for c, y in rows if c != q and len(y) == len(x))[:10]
+            want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+    assert Counter(tuple(r) for r in topk.exact_topk(df, df.filter("vec_id % 100 = 0")).collect()) == want
+    big = spark.createDataFrame([(0, [3e6, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long"):
+        topk.exact_topk(big, big).collect()
+
+
 def test_op7_blocks_prune_nothing_that_counts():
     rng = np.random.default_rng(7)
     v = (rng.normal(0, 300, (3000, 64)) * rng.random((3000, 1))).astype(np.int64)
@@ -478,6 +720,16 @@ def test_op9_missing_slots_follow_the_schedule(spark):
     assert got == [(14, 1, 0), (15, 3, 1), (16, 3, 2), (17, 3, 3)]
 
 
+def test_op9_texts_of_one_id_and_size_keep_their_places(spark):
+    rows = [(1, f"w{i} " * 40, "a") for i in range(30)] + [(2 + i, "x " * 90, "b") for i in range(20)]
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        runs.append(sorted((r["kept"]["text"], r["taken"], r["first_slot"] or -1) for r in mixing.mix_sources(df, keep=["text"]).collect()))
+    assert runs[0] == runs[1]
+
+
 def test_op9_schedule_is_even(spark):
     sources = spark.createDataFrame([(0, 0, 1 << 31), (1, 1 << 31, 3 << 30), (2, 3 << 30, 1 << 32)], "pos int, lo long, hi long")
     slots = sorted(tuple(r) for r in mixing.schedule(spark, sources, 4000).select("slot", "pos", "rank").collect())
@@ -544,6 +796,34 @@ def test_op10_histograms_are_packed_tightly():
         assert bins <= 1.25 * max(-(-total // capacity), large) + 1
 
 
+def test_op10_large_pieces_of_odd_counts_find_mates():
+    place = packing.pack_histogram({1000: 1, 900: 1, 800: 1, 700: 1})
+    assert len({x[3] for x in place}) == 2
+    place = packing.pack_histogram({1000: 3, 900: 3, 683: 2})
+    assert sum(x[2] - x[1] for x in place) == 8 and max(x[3] + x[2] - x[1] for x in place) == 4
+
+
+def test_op10_other_vocabularies_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    spec = json.loads(open(path).read())
+    assert packing.by_words(path)
+    spec["normalizer"] = {"type": "NFC"}
+    other = str(tmp_path / "other.json")
+    with open(other, "w") as f:
+        json.dump(spec, f)
+    assert not packing.by_words(other)
+    texts = ["Hello, World! a|b", "", "don't STOP 12 é ｆ"]
+    data = "".join(texts).encode()
+    off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    ids, at = packing.WordEncoder(other).encode(np.frombuffer(data, np.uint8), off)
+    plain = Tokenizer.from_file(other)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op10_odd_rows(spark):
     rows = packing.pack_documents(spark.createDataFrame(odd_rows(), DOCS), packing.vocabulary_path()).collect()
     valid(rows, 2048)
