@@ -1,16 +1,18 @@
 """Licence scan: a positional index of rare words, then whole phrases.
 
-Each template is a label and the words of its mandatory key phrase.  A word's
-weight is its inverse document frequency over all documents, counted in one pass
-for the templates' vocabulary.  Every template is looked up by its word of the
-highest weight: each place of that word in a file proposes the start that its
-place in the template implies, and the other words' places relative to that
-start are then verified, so a template is found wherever its words stand
-consecutively.
+Each template is a label and the words of a mandatory key phrase: short ones, and
+the passages by which licence headers and licence texts are known.  A word's weight
+is its inverse document frequency over all documents, counted in one pass for the
+longest words of each template.  A file is looked up by the words of the highest weight of the
+templates that it may hold, two of each: a place of a word in the file proposes the
+start that its place in the template implies, the starts that the two words propose
+are intersected, and where they agree all other words of the phrase are verified.  So
+a template is found wherever its words stand consecutively.
 
 All of it is DataFrame functions.  Null and empty texts have no words, no labels
-and score 0.  Overlapping places all count.  Repeated rows stay repeated; an
-empty table gives an empty result; other columns are ignored.
+and score 0; very long texts need memory for one text's words.  Overlapping places
+all count, also those of several templates with one label.  Repeated rows stay
+repeated; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,15 @@ MORE = (
     ("cc0", "cc0 1 0 universal"),
     ("unlicense", "released into the public domain"),
     ("reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: The words of a text whose letters may still be capitals.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,33 +63,39 @@ def split_words(text):
 
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of documents, and how many hold each word of the vocabulary (a bounded table)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = F.array_distinct(F.filter(F.transform(split_words(text), F.lower), lambda w: w.isin(vocabulary)))
-    counted = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    """The number of documents, and how many hold each word of the vocabulary, be it within a longer one (a bounded table)."""
+    low = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    held = F.filter(F.array(*map(F.lit, vocabulary)), lambda w: F.contains(F.col("low"), w))
+    counted = low.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     found = {r["word"]: r["n"] for r in counted}
     return found.pop("", 0), found
 
 
-def anchors(templates, frequencies: dict[str, int]) -> list[tuple[str, list[str], int]]:
-    """(label, words, place of the word with the highest inverse document frequency)."""
+def likely(phrase: str, n: int = 5) -> list[str]:
+    """The n longest words of a phrase: those whose weight is counted."""
+    return sorted(set(phrase.split(" ")), key=lambda w: (-len(w), w))[:n]
+
+
+def anchors(templates, frequencies: dict[str, int], n: int = 2) -> list[tuple[str, list[str], list[int]]]:
+    """(label, words, places of the n different words with the highest inverse document frequency)."""
     out = []
     for label, phrase in templates:
         words = phrase.split(" ")
-        out.append((label, words, min(range(len(words)), key=lambda i: (frequencies.get(words[i], 0), i))))
+        first = {w: words.index(w) for w in likely(phrase)}
+        out.append((label, words, sorted(first.values(), key=lambda i: (frequencies.get(words[i], 0), i))[:n]))
     return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, more=MORE) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_places, hits (array of label, start, words)."""
     templates = [*base, *more]
-    vocabulary = sorted({w for _, p in templates for w in p.split(" ")})
+    vocabulary = sorted({w for _, p in templates for w in likely(p)})
     _, frequencies = word_frequencies(docs, vocabulary, text_col)
     index = anchors(templates, frequencies)
-    rare = sorted({words[at] for _, words, at in index})
+    rare = sorted({words[i] for _, words, at in index for i in at})
     text = F.coalesce(F.col(text_col), F.lit(""))
     # a document that lacks a word of every template is never cut into words
-    holds = lambda words: reduce(lambda a, b: a & b, [F.col("__low").contains(w) for w in sorted(set(words), key=lambda w: (frequencies.get(w, 0), -len(w)))])
+    holds = lambda words: reduce(lambda a, b: a & b, [F.col("__low").contains(w) for w in sorted(set(words), key=lambda w: (frequencies.get(w, 1 << 62 if w not in vocabulary else 0), -len(w)))])
     some = reduce(lambda a, b: a | b, [holds(words) for _, words, _ in index])
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col), text.alias("__text"), F.lower(text).alias("__low"))
@@ -88,10 +105,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = F.transform(places, lambda x: F.struct(lower_ascii(x["w"]).alias("w"), x["i"].alias("i")))
     rows = rows.withColumn("__places", F.when(F.size("__words") > 0, places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
 
-    def found(label: str, words: list[str], at: int, is_base: bool):
-        start = F.transform(F.filter("__places", lambda x: x["w"] == words[at]), lambda x: x["i"] - at)
-        fits = lambda s: reduce(lambda a, b: a & b, [s >= 0, *(F.coalesce(lower_ascii(F.get("__words", s + k)) == w, F.lit(False)) for k, w in enumerate(words) if k != at)])
-        return F.transform(F.filter(start, fits), lambda s: F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), F.lit(len(words)).alias("words"), F.lit(is_base).alias("base")))
+    def proposed(word: str, at: int):
+        return F.transform(F.filter("__places", lambda x: x["w"] == word), lambda x: x["i"] - at)
+
+    def found(label: str, words: list[str], at: list[int], is_base: bool):
+        starts = [proposed(words[i], i) for i in at]
+        fits = lambda s: reduce(lambda a, b: a & b, [s >= 0, *(F.coalesce(lower_ascii(F.get("__words", s + k)) == w, F.lit(False)) for k, w in enumerate(words) if k not in at)])
+        return F.transform(F.filter(reduce(F.array_intersect, starts), fits), lambda s: F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), F.lit(len(words)).alias("words"), F.lit(is_base).alias("base")))
 
     hits = F.concat(*(found(*x, n < len(base)) for n, x in enumerate(index)))
     empty = F.array().cast("array<struct<label:string,start:bigint,words:int,base:boolean>>")
