@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from tabloom.llm import quality, secrets
 from tabloom.llm.common import save
+from tabloom.storage import trim
 
 from .test_operators import plain_components, valid
 
@@ -98,6 +99,16 @@ def test_extra_columns_and_repeated_ids_go_through(spark):
     assert valid(rows, 2048) > 0 and {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_saving_gives_back_what_the_driver_has_freed(spark):
+    sf = "/root/testdata/sf0.001"
+    save(pipeline.keep_one_of_near_copies(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "one")
+    said = trim(spark)
+    if not said:
+        pytest.skip("this JVM can't")
+    found = re.search(r"\(-(\d+)([BKMG])\)", said)
+    assert not found or int(found[1]) * {"B": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30}[found[2]] < 16 << 20, said
+
+
 def test_empty_and_odd_tables(spark):
     from .test_operators import DOCS, odd_rows
 
