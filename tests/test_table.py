@@ -381,3 +381,36 @@ def test_slices_of_slices(spark, monkeypatch):
     for i, (a, s, v, p) in enumerate(rows):
         last = str(i) if i % 90 == 7 else last
         assert (a, s, v, p) == (str(i), str(i * (i + 1) // 2), last, str(i))
+
+
+def python_nodes(t):
+    return t._df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def test_python_functions_in_a_row_share_a_worker():
+    t = people().add_col_int("n", lambda r: len(r["name"])).add_col_float("x", lambda r: int(r["n"]) / 2e6).map("city", lambda c: c.upper() if c != "Paris" else None)
+    t = t.add_col("seen", lambda r: "/".join(r.values())).add_col("true", lambda r: r["name"] == "Bob").add_col("none", lambda r: None).add_col_int("two", lambda r: 2.0)
+    number = t.add_col_float("y", lambda r: 2 if r["name"] == "Ann" else None)
+    t = number.transform(lambda r: {"name": r["city"] + r["x"], "n": None, "two": r["none"] + "!", "other": "?"} if r["age"] else None)
+    assert t.headers == ["name", "city", "age", "n", "x", "seen", "true", "none", "two", "y"]
+    assert t.records() == [
+        ["BERLIN0.0000015", "BERLIN", "30", "3", "0.0000015", "Ann/BERLIN/30/3/0.0000015", "false", "", "!", "2"],
+        ["0.0000015", "", "25", "3", "0.0000015", "Bob//25/3/0.0000015", "true", "", "!", ""],
+        ["Cid", "BERLIN", "", "3", "0.0000015", "Cid/BERLIN//3/0.0000015", "false", "", "2", ""],
+    ]
+    assert python_nodes(t) == 1
+    assert [tuple(r) for r in number._df.select("__raw_n", "__raw_x", "__raw_two", "__raw_y").collect()] == [(3, 1.5e-6, 2, 2.0), (3, 1.5e-6, 2, None), (3, 1.5e-6, 2, None)]
+
+
+def test_functions_after_other_steps_see_their_cells():
+    t = people().add_col("a", lambda r: r["age"] + "a").rename("a", "b").drop("city").add_col("c", lambda r: r["b"] + "/".join(r.headers()))
+    assert t.records()[1] == ["Bob", "25", "25a", "25aname/age/b"]
+    m = people().thaw()
+    m.add_col("a", lambda r: r["age"] + "a").map("a", str.upper).set(0, "a", "set").add_col("c", lambda r: r["a"] + "c")
+    assert [r[-2:] for r in m.freeze().records()] == [["set", "setc"], ["25A", "25Ac"], ["A", "Ac"]]
+
+
+@pytest.mark.parametrize(("x", "text"), [(1e22, "1" + "0" * 22), (1.5e-7, "0.00000015"), (-0.0, "-0"), (12345678.0, "12345678"), (float("inf"), "+Inf"), (float("-inf"), "-Inf"), (float("nan"), "NaN"), (0.1, "0.1")])
+def test_floats_of_python_functions_print_as_those_of_expressions(x, text):
+    t = people().add_col_float("p", lambda r: x).add_col_float("e", F.lit(x)).add_col("seen", lambda r: r["p"])
+    assert [r[-3:] for r in t.records()] == [[text] * 3] * 3
