@@ -414,3 +414,33 @@ def test_functions_after_other_steps_see_their_cells():
 def test_floats_of_python_functions_print_as_those_of_expressions(x, text):
     t = people().add_col_float("p", lambda r: x).add_col_float("e", F.lit(x)).add_col("seen", lambda r: r["p"])
     assert [r[-3:] for r in t.records()] == [[text] * 3] * 3
+
+
+def least(t, n, seed):
+    """The ids of the n rows with the least random numbers, in their order."""
+    return [r[0] for r in t._df.withColumn("u", F.rand(seed)).orderBy("u").limit(n).select("id").collect()]
+
+
+@pytest.mark.parametrize("n", [0, 3, 1_000, 1_001, 7_777, 19_999])
+def test_samples_are_the_rows_with_the_least_random_numbers(spark, n):
+    t = from_frame(spark.range(0, 20_000, 1, 4), "id")
+    drawn = t.sample(n, seed=5)
+    assert drawn.col("id") == least(t, n, 5)
+    if n > ordered.DRAWN:  # no task has all the rows
+        plan = drawn._df._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Limit" not in plan
+
+
+def test_samples_of_equal_random_numbers_and_of_bounds_that_miss(spark):
+    df = spark.range(0, 5_000, 1, 4).withColumn("__ord", F.col("id"))
+    for by in (F.lit(0.25), (F.col("id") % 2) / 2, F.lit(0.0), F.lit(0.999), F.col("id") / 5_000 / 1_000, 0.9 + F.col("id") / 50_000):
+        found = ordered.drawn(df, "__ord", by.cast("double"), 2_000, 5_000)
+        want = [r[0] for r in df.withColumn("u", by).orderBy("u", "__ord").limit(2_000).select("id").collect()]
+        assert sorted(r[0] for r in found.select("id").collect()) == sorted(want)
+
+
+def test_mutable_samples_of_all_rows_are_shuffled(spark):
+    m = from_frame(spark.range(0, 5_000, 1, 4), "id").thaw()
+    found = m.sample(9_000, seed=3).freeze()
+    assert found.col("id") == least(from_frame(spark.range(0, 5_000, 1, 4), "id"), 5_000, 3)
+    assert "Limit" not in found._df._jdf.queryExecution().executedPlan().toString()
